@@ -7,6 +7,7 @@ import importlib
 #: Query name: module and function.
 _QUERIES = {
     "op4_substring_dedup": ("substring_dedup", "op4_substring_dedup"),
+    "op7_near_dup": ("near_dup", "op7_near_dup"),
     "op8_packing": ("packing", "op8_packing"),
     "op9_token_orc": ("orc_tokens", "op9_token_orc"),
     "op10_token_counts": ("token_counts", "op10_token_counts"),
