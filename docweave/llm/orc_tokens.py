@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, scratch_path, shuffle_width
-from .tokens import WordIds, in_slices, tokenizer_path, worker_local
+from .tokens import WordIds, tokenizer_path, worker_local
+from .words import text_slices
 
 #: Id that closes each document.
 END_ID = 1
@@ -36,16 +37,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
         import pyarrow as pa
 
         words = worker_local(("word ids", tokenizer), lambda: WordIds(tokenizer))
-        end = end_id.to_bytes(4, "little")
-        for whole in batches:
-            for batch in in_slices(whole, "text"):
-                ids = words.encode(x or "" for x in batch.column("text").to_pylist())
-                lengths = np.fromiter((len(x) // 4 + 1 for x in ids), dtype=np.int64, count=len(ids))
-                values = np.frombuffer(end.join(ids) + end, dtype="<i4")
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "tokens"]
-                )
+        for batch, texts in text_slices(batches):
+            ids, first = words.encode(texts, end_id)
+            tokens = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), tokens], names=["doc_id", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, tokens array<int>")
 

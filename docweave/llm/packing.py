@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import buckets_for, materialize
-from .tokens import WordIds, in_slices, tokenizer_path, worker_local
+from .tokens import WordIds, tokenizer_path, worker_local
+from .words import text_slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -46,18 +47,17 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
         import pyarrow as pa
 
         words = worker_local(("word ids", tokenizer), lambda: WordIds(tokenizer))
-        end = end_id.to_bytes(4, "little")
-        for whole in batches:
-            for batch in in_slices(whole, "text"):
-                rows = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(x or "" for x in batch.column("text").to_pylist())):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, dtype="<i4")] if keep_ids else [])))
-                columns = list(zip(*rows)) or [()] * (5 + keep_ids)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
+        for batch, texts in text_slices(batches):
+            ids, first = words.encode(texts, end_id)
+            ids, first = np.ascontiguousarray(ids, dtype="<u4"), first.tolist()
+            view, rows = memoryview(ids).cast("B"), []
+            for doc_id, begin, end in zip(batch.column("doc_id").to_pylist(), first, first[1:]):
+                for piece, at in enumerate(range(begin, end, capacity)):
+                    stop = min(at + capacity, end)
+                    rows.append((doc_id, piece, at - begin, stop - at, zlib.crc32(view[4 * at : 4 * stop]), *([ids[at:stop].astype(np.int32)] if keep_ids else [])))
+            columns = list(zip(*rows)) or [()] * (5 + keep_ids)
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 

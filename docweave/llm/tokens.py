@@ -10,6 +10,7 @@ from __future__ import annotations
 import array
 import os
 import re
+from collections import ChainMap
 from collections.abc import Callable, Iterable, Iterator
 
 #: Chunks that one Python worker keeps encoded; beyond that they are encoded again.
@@ -31,8 +32,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Letters that libraries lower-case differently, or that lie outside scripts in everyday use.
-UNSURE_CASE = re.compile("[\u0130\u0250-\u1fff\u2100-\U0010ffff]")
 #: A full stop or comma that may belong to a longer run of signs.
 LOOSE_SIGN = re.compile(r"[.,](?:(?<=[\W_].)|(?=[^\w\s]|_))")
 
@@ -40,8 +39,11 @@ LOOSE_SIGN = re.compile(r"[.,](?:(?<=[\W_].)|(?=[^\w\s]|_))")
 class WordIds:
     """Ids of whole texts under a lower-casing tokenizer that drops white space.
 
-    Such a tokenizer never joins what stands on both sides of a blank, nor a word
-    with the full stop or comma after it, so texts may be cut there.
+    Such a tokenizer never joins what stands on both sides of ASCII white space,
+    nor a letter with the full stop or comma that ends its word, so texts are cut
+    there. Words are told apart by 64-bit hashes within one slice of texts; each
+    distinct one is encoded by the library, from its bytes, and the texts' ids are
+    gathered from those by position.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -49,25 +51,17 @@ class WordIds:
 
         self.tokenizer = load_tokenizer(path)
         self.entries = entries
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[int, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        if text.isascii() or not UNSURE_CASE.search(text):
-            text = text.lower()
-        if not LOOSE_SIGN.search(text):
-            text = text.replace(",", " ,").replace(".", " .")
-        return text.replace("\n", " ").split(" ")
-
-    def look_up(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are not known yet. Words of letters alone are one piece each, so they are encoded many at a time and told apart by the tokens that close a word."""
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. Words of letters alone are one piece each, so they are encoded many at a time and told apart by the tokens that close a word."""
         import numpy as np
 
-        plain = [w for w in words if w.isalpha()]
         found: dict[str, bytes] = {}
+        plain = [w for w in words if w.isalpha()]
         for at in range(0, len(plain), 50_000):
             part = plain[at : at + 50_000]
             lines = [" ".join(part[i : i + 500]) for i in range(0, len(part), 500)]
@@ -81,25 +75,38 @@ class WordIds:
             part = rest[at : at + 20_000]
             encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             found.update((w, array.array("I", e.ids).tobytes()) for w, e in zip(part, encoded))
-        return found
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without special tokens."""
-        cut = [self.cut(text) for text in texts]
-        known = self.known
-        table = known
-        if new := set().union(*cut).difference(known):
-            found = self.look_up(list(new))
-            if len(known) + len(found) <= self.entries:
-                known.update(found)
-            else:
-                for w, ids in zip(found, found.values()):
-                    if len(known) >= self.entries:
-                        break
-                    known[w] = ids
-                found.update((w, known[w]) for w in set().union(*cut).intersection(known))
-                table = found
-        return [b"".join(map(table.__getitem__, words)) for words in cut]
+        return list(map(found.__getitem__, words))
+
+    def encode(self, texts: list[bytes | None], end_id: int | None = None):
+        """Ids of all texts in a row, as 32-bit numbers, and where each text's begin (and the end). ``end_id`` closes each text."""
+        import numpy as np
+
+        from .words import part_tail, words_of
+
+        words = part_tail(words_of(texts, fold=True))
+        code, where, which = np.unique(words.code, return_index=True, return_inverse=True)
+        known, codes = self.known, code.tolist()
+        new = [i for i, c in enumerate(codes) if c not in known]
+        if new:
+            at = where[new]
+            data = words.data
+            found = self.look_up([data[a:b].decode("utf-8") for a, b in zip(words.begin[at].tolist(), words.end[at].tolist())])
+            table = known if len(known) + len(new) <= self.entries else ChainMap({}, known)
+            table.update(zip([codes[i] for i in new], found))
+            parts = list(map(table.__getitem__, codes))
+        else:
+            parts = list(map(known.__getitem__, codes))
+        ids = np.frombuffer(b"".join(parts), dtype="<u4")
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) >> 2
+        begin = np.cumsum(size) - size
+        each = size[which]
+        stop = np.cumsum(each)
+        out = ids[np.repeat(begin[which] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)]
+        first = np.concatenate([[0], stop])[words.first]
+        if end_id is not None:
+            out = np.insert(out, first[1:], end_id)
+            first = first + np.arange(len(first))
+        return out, first
 
 
 _WORKERS: dict[tuple, object] = {}

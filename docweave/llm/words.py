@@ -52,11 +52,12 @@ _FOLD[0x41:0x5B] += 0x20
 
 
 class Words(NamedTuple):
-    """Words of a slice of texts: where each begins and ends in ``data``, its hash, and the first word of each text (and the end)."""
+    """Words of a slice of texts: where each begins and ends in ``data``, its hash before and after mixing, and the first word of each text (and the end)."""
 
     data: bytes
     begin: np.ndarray
     end: np.ndarray
+    raw_code: np.ndarray
     code: np.ndarray
     first: np.ndarray
 
@@ -75,9 +76,32 @@ def words_of(texts: list[bytes | None], fold: bool = False) -> Words:
     total = np.empty(len(raw) + 1, dtype=_U)
     total[0] = 0
     np.cumsum(values, out=total[1:])
-    code = mix((total[end] - total[begin]) * down[begin])
+    code = (total[end] - total[begin]) * down[begin]
     starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
-    return Words(data, begin, end, code, np.searchsorted(begin, starts))
+    return Words(data, begin, end, code, mix(code), np.searchsorted(begin, starts))
+
+
+def part_tail(words: Words) -> Words:
+    """Words with a full stop or comma after a last letter (of ASCII or Latin-1) taken as a word of its own."""
+    raw = np.frombuffer(words.data, dtype=np.uint8)
+    last = raw[words.end - 1]
+    at = np.maximum(words.end - 2, 0)
+    before, ahead = raw[at] | 0x20, raw[at]
+    letter = (before >= 0x61) & (before <= 0x7A) & (ahead < 0x80)
+    latin = (raw[np.maximum(at - 1, 0)] == 0xC3) & (ahead >= 0x80) & (ahead != 0x97) & (ahead != 0xB7)
+    cut = ((last == 0x2E) | (last == 0x2C)) & (words.end - words.begin > 1) & (letter | latin)
+    if not cut.any():
+        return words
+    sign = _TABLE[last[cut]]
+    n = np.cumsum(cut) - cut + np.arange(len(cut))  # where each word goes
+    begin, end, code = (np.empty(len(cut) + len(sign), dtype=x.dtype) for x in (words.begin, words.end, words.code))
+    begin[n], end[n] = words.begin, words.end - cut
+    begin[n[cut] + 1], end[n[cut] + 1] = words.end[cut] - 1, words.end[cut]
+    up, down = _LETTERS.get(len(raw) + 1)
+    whole = words.raw_code.copy()
+    whole[cut] -= sign * up[words.end[cut] - 1 - words.begin[cut]]
+    code[n], code[n[cut] + 1] = mix(whole), mix(sign)
+    return Words(words.data, begin, end, code, code, np.append(n, len(code))[words.first])
 
 
 def run_codes(code: np.ndarray, k: int) -> np.ndarray:
