@@ -6,6 +6,7 @@ import importlib
 
 #: Query name: module and function.
 _QUERIES = {
+    "op2_decontaminate": ("decontaminate", "op2_decontaminate"),
     "op4_substring_dedup": ("substring_dedup", "op4_substring_dedup"),
     "op7_near_dup": ("near_dup", "op7_near_dup"),
     "op8_packing": ("packing", "op8_packing"),
