@@ -81,7 +81,8 @@ def _hits_of_windows(docs: DataFrame, items: DataFrame, window: int) -> DataFram
         F.slice("item_words", F.col("at") + 1, F.lit(window)).alias("item_right"),
     ).distinct()
     few = theirs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    ours = fingerprints(docs.filter(F.size("words") >= window), window).select("doc", "words", F.explode("prints").alias("p"))
+    # explode_outer: for explode, Spark would filter on all the array work once more
+    ours = fingerprints(docs, window).select("doc", "words", F.explode_outer("prints").alias("p"))
     ours = ours.select("doc", "words", F.shiftright("p", 31).alias("print"), p_to_place("p").alias("at"))
     if few:
         met = ours.join(F.broadcast(theirs), "print")
@@ -90,7 +91,9 @@ def _hits_of_windows(docs: DataFrame, items: DataFrame, window: int) -> DataFram
         met = ours.select("doc", "print", "at").join(theirs, "print").drop("print").join(docs, "doc")
     left = F.slice("words", F.greatest(F.col("at") - reach + 1, F.lit(1)), F.least(F.col("at"), F.lit(reach)))
     right = F.slice("words", F.col("at") + 1, F.lit(window))
-    met = met.select("doc", "item_id", "at", _common(F.reverse(left), F.reverse("item_left")).alias("a"), _common(right, F.col("item_right")).alias("b"))
+    # in an array of one, so that no part of this moves into the join, which stays with the explode in one piece of code that never copies the words
+    both = F.struct(_common(F.reverse(left), F.reverse("item_left")).alias("a"), _common(right, F.col("item_right")).alias("b"))
+    met = met.select("doc", "item_id", "at", F.explode(F.array(both)).alias("both")).select("doc", "item_id", "at", "both.a", "both.b")
     # windows begin `d` words before the fingerprint, for each d with d <= a and window - d <= b
     return met.filter(F.col("a") + F.col("b") >= window).select("doc", "item_id", (F.col("at") - F.col("a")).alias("begin"), (F.col("at") + F.col("b")).alias("end"))
 
@@ -114,7 +117,8 @@ def _hits_of_short(docs: DataFrame, items: DataFrame, window: int) -> DataFrame
     for n in sorted(lengths):
         theirs = short.filter(F.col("n") == n).select("item_id", F.col("words").alias("item_words"), F.xxhash64("words").alias("print")).distinct()
         few = theirs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        ours = docs.filter(F.size("words") >= n).select("doc", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.slice("words", i, F.lit(n)))).alias("at", "run"))
+        runs = F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1))), lambda i: F.slice("words", i, F.lit(n))))
+        ours = docs.select("doc", F.posexplode_outer(runs).alias("at", "run"))
         ours = ours.select("doc", "at", "run", F.xxhash64("run").alias("print"))
         met = ours.join(F.broadcast(theirs) if few else theirs, "print").filter(F.col("run") == F.col("item_words"))
         met = met.select("doc", "item_id", F.col("at").alias("begin"), (F.col("at") + n).alias("end"))
