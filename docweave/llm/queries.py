@@ -8,6 +8,7 @@ import importlib
 _QUERIES = {
     "op2_decontaminate": ("decontaminate", "op2_decontaminate"),
     "op4_substring_dedup": ("substring_dedup", "op4_substring_dedup"),
+    "op6_toxicity": ("toxicity", "op6_toxicity"),
     "op7_near_dup": ("near_dup", "op7_near_dup"),
     "op8_packing": ("packing", "op8_packing"),
     "op9_token_orc": ("orc_tokens", "op9_token_orc"),
