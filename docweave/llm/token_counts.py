@@ -22,12 +22,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import CACHE_ENTRIES, LOOSE_SIGN, in_slices, load_tokenizer, tokenizer_path, worker_local
+from .tokens import CACHE_ENTRIES, load_tokenizer, tokenizer_path, worker_local
+from .words import text_slices
 
 #: The byte-level tokenizer's own split into pieces. Fixed value of the format.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,13 +37,15 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 CHUNK = re.compile(r"\s+(?!\S)| ?\S+|\s")
 #: Characters that regular expression libraries disagree on; texts with these are left to the library.
 DISPUTED = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-#: White space other than blanks and line feeds, or a NUL.
-OTHER_SPACE = re.compile("[\0\t\x0b-\x0d\xa0  -     　]")
+#: Bytes of white space and of signs that libraries disagree on, other than blanks and line feeds, or a NUL.
+ODD_BYTES = re.compile(rb"[\0\t\x0b-\x0d\x1c-\x1f]")
+#: First bytes of white space outside ASCII, with what follows.
+WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf")
 
 
-def even(text: str) -> bool:
+def even(text: bytes) -> bool:
     """Whether single blanks and line feeds alone stand between the words."""
-    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or OTHER_SPACE.search(text))
+    return not (b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or text[:1].isspace() or text[-1:].isspace() or ODD_BYTES.search(text))
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,10 +77,10 @@ class PrefixCounter:
         self.split = regex.compile(PIECE)
         self.library = load_tokenizer(path)
         self.edges: tuple[dict, dict] = ({}, {})
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.entries = entries
-        self.totals: dict[str, int] = {}
-        self.pieces: dict[str, int] = {}
+        self.totals: dict[int, int] = {}
+        self.feed = self.chunk_totals(["\n"])[0]
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens on one edge of a token's merge tree (0: right, 1: left), each with the rank at which it is merged away."""
@@ -95,7 +99,7 @@ class PrefixCounter:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the encoding of a's and b's bytes together is a, b."""
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << 32 | b)
         if known is None:
             rank = self.rank.get
             known = True
@@ -109,15 +113,19 @@ class PrefixCounter:
                 if not known:
                     break
             if len(self.fits) < 4 * self.entries:
-                self.fits[a, b] = known
+                self.fits[a << 32 | b] = known
         return known
 
     def prefix_counts(self, piece: str) -> list[int]:
         """Tokens of each byte prefix of one piece; the last one is the piece's count."""
-        data = piece.encode("utf-8")
+        data, (last, count) = piece.encode("utf-8"), ([-1], [0])
+        self.extend(data, last, count)
+        return count
+
+    def extend(self, data: bytes, last: list[int], count: list[int]) -> None:
+        """Go on from the prefixes of ``data`` that ``last`` (token that closes each) and ``count`` have already."""
         ids, longest, compatible = self.ids, self.longest, self.compatible
-        last, count = [-1], [0]
-        for i in range(1, len(data) + 1):
+        for i in range(len(last), len(data) + 1):
             for start in range(max(0, i - longest), i):
                 token = ids.get(data[start:i])
                 if token is not None and (start == 0 or compatible(last[start], token)):
@@ -126,44 +134,75 @@ class PrefixCounter:
                     break
             else:
                 raise ValueError("no token closes this prefix")
-        return count
-
-    def piece_count(self, piece: str) -> int:
-        known = self.pieces.get(piece)
-        if known is None:
-            known = self.prefix_counts(piece)[-1]
-            if len(self.pieces) < self.entries:
-                self.pieces[piece] = known
-        return known
 
-    def chunk_count(self, chunk: str) -> int:
-        return sum(map(self.piece_count, self.split.findall(chunk)))
+    def piece_counts(self, pieces: set[str]) -> dict[str, int]:
+        """Tokens of many pieces. In sorted order each shares a prefix with the one before, whose counts stand already."""
+        found, last, count, before = {}, [-1], [0], b""
+        for piece in sorted(pieces):
+            data = piece.encode("utf-8")
+            same, most = 0, min(len(data), len(before))
+            while same < most and data[same] == before[same]:
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            self.extend(data, last, count)
+            found[piece], before = count[-1], data
+        return found
+
+    def chunk_totals(self, chunks: list[str]) -> list[int]:
+        """Tokens of chunks, each of which is a whole number of pieces."""
+        cut = list(map(self.split.findall, chunks))
+        found = self.piece_counts(set().union(*cut))
+        return [sum(map(found.__getitem__, pieces)) for pieces in cut]
 
     def plain(self, text: str) -> bool:
         """Whether the split at white space is exact for this text."""
         return not DISPUTED.search(text) and not (self.special and self.special.search(text))
 
-    def count_words(self, words: list[str]) -> int:
-        """Tokens of words with a blank before each, or none where a word starts with NUL."""
-        known = self.totals
-        if new := set(words).difference(known):
-            counts = {w: self.chunk_count(w[1:] if w[:1] == "\0" else " " + w) for w in new}
-            if len(known) + len(counts) <= self.entries:
-                known.update(counts)
-            else:
-                counts.update((w, known[w]) for w in set(words).intersection(known))
-                known = counts
-        return sum(map(known.__getitem__, words))
-
     def count(self, text: str) -> int:
-        """Tokens of a whole text."""
+        """Tokens of a whole text, by its own chunks."""
         if not self.plain(text):
             return len(self.library.encode(text, add_special_tokens=False).ids)
-        if not even(text):
-            return sum(map(self.chunk_count, CHUNK.findall(text)))
-        if not LOOSE_SIGN.search(text):
-            text = text.replace(",", " \0,").replace(".", " \0.")
-        return self.count_words(("\0" + text.replace("\n", " \0\n \0")).split(" "))
+        return sum(self.chunk_totals(CHUNK.findall(text)))
+
+    def count_many(self, texts: list[bytes | None]):
+        """Tokens of each whole text.
+
+        Where single blanks and line feeds alone stand between words, a word with
+        the blank before it and the full stop or comma after its last letter are
+        whole pieces, and so is a line feed: words are told apart by hash, and each
+        distinct one is counted once.
+        """
+        import numpy as np
+
+        from .words import mix, part_tail, words_of
+
+        texts = [t or b"" for t in texts]
+        out = np.zeros(len(texts), dtype=np.int64)
+        odd = [i for i, t in enumerate(texts) if not (even(t) and (t.isascii() or not WIDE_SPACE.search(t)) and not (self.special and b"<|" in t))]
+        for i in odd:
+            out[i] = self.count(texts[i].decode("utf-8"))
+        regular = list(texts)
+        for i in odd:
+            regular[i] = b""
+        words = part_tail(words_of(regular))
+        if not len(words.code):
+            return out
+        raw = np.frombuffer(words.data, dtype=np.uint8)
+        blank = raw[words.begin - 1] == 0x20
+        code, where, which = np.unique(mix(words.code + blank.astype(np.uint64)), return_index=True, return_inverse=True)
+        codes, known = code.tolist(), self.totals
+        new = [i for i, c in enumerate(codes) if c not in known]
+        if new:
+            at, data = where[new], words.data
+            spans = zip((words.begin[at] - blank[at]).tolist(), words.end[at].tolist())
+            found = self.chunk_totals([data[a:b].decode("utf-8") for a, b in spans])
+            table = known if len(known) + len(new) <= self.entries else ChainMap({}, known)
+            table.update(zip([codes[i] for i in new], found))
+            known = table
+        each = np.fromiter(map(known.__getitem__, codes), dtype=np.int64, count=len(codes))[which]
+        total = np.concatenate([[0], np.cumsum(each)])
+        feeds = np.fromiter((t.count(b"\n") for t in regular), dtype=np.int64, count=len(regular))
+        return out + total[words.first[1:]] - total[words.first[:-1]] + feeds * self.feed
 
     def prefixes(self, text: str) -> tuple[list[int], list[int]]:
         """Byte ends of the chunks and the tokens of the text up to each."""
@@ -181,9 +220,10 @@ class PrefixCounter:
                     counts.append(n)
             return ends, counts
         ends, counts, size, total = [], [], 0, 0
-        for chunk in CHUNK.findall(text):
+        chunks = CHUNK.findall(text)
+        for chunk, n in zip(chunks, self.chunk_totals(chunks)):
             size += len(chunk) if chunk.isascii() else len(chunk.encode("utf-8"))
-            total += self.chunk_count(chunk)
+            total += n
             ends.append(size)
             counts.append(total)
         return ends, counts
@@ -207,19 +247,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, store_prefi
         import pyarrow.compute as pc
 
         own = counter(tokenizer)
-        for whole in batches:
-            for batch in in_slices(whole, "text"):
-                column = batch.column("text")
-                texts = [x or "" for x in column.to_pylist()]
-                size = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
-                arrays, names = [batch.column("doc_id"), size], ["doc_id", "n_bytes", "n_tokens"]
-                if store_prefixes:
-                    stored = [own.prefixes(x) for x in texts]
-                    arrays += [pa.array([c[-1] if c else 0 for _, c in stored], type=pa.int64()), *(pa.array([s[k] for s in stored], type=pa.list_(pa.int32())) for k in (0, 1))]
-                    names += ["ends", "counts"]
-                else:
-                    arrays.append(pa.array([own.count(x) for x in texts], type=pa.int64()))
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for batch, texts in text_slices(batches):
+            column = batch.column("text")
+            size = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
+            arrays, names = [batch.column("doc_id"), size], ["doc_id", "n_bytes", "n_tokens"]
+            if store_prefixes:
+                stored = [own.prefixes((x or b"").decode("utf-8")) for x in texts]
+                arrays += [pa.array([c[-1] if c else 0 for _, c in stored], type=pa.int64()), *(pa.array([s[k] for s in stored], type=pa.list_(pa.int32())) for k in (0, 1))]
+                names += ["ends", "counts"]
+            else:
+                arrays.append(pa.array(own.count_many(texts), type=pa.int64()))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
     out = rows.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

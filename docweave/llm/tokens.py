@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import array
 import os
-import re
 from collections import ChainMap
 from collections.abc import Callable, Iterable, Iterator
 
@@ -32,9 +31,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: A full stop or comma that may belong to a longer run of signs.
-LOOSE_SIGN = re.compile(r"[.,](?:(?<=[\W_].)|(?=[^\w\s]|_))")
-
 
 class WordIds:
     """Ids of whole texts under a lower-casing tokenizer that drops white space.
