@@ -7,6 +7,7 @@ import importlib
 #: Query name: module and function.
 _QUERIES = {
     "op2_decontaminate": ("decontaminate", "op2_decontaminate"),
+    "op3_pii": ("pii", "op3_pii"),
     "op4_substring_dedup": ("substring_dedup", "op4_substring_dedup"),
     "op6_toxicity": ("toxicity", "op6_toxicity"),
     "op7_near_dup": ("near_dup", "op7_near_dup"),
