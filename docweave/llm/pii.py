@@ -47,28 +47,25 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """start, end and text of each match, leftmost and without overlap."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(between, found, lambda gap, own: F.struct(F.char_length(gap).alias("gap"), F.char_length(own).alias("own"), own.alias("match")))
-    steps = F.filter(steps, lambda s: s["own"].isNotNull())
-    size = F.size(steps)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / _BLOCK).cast("int")), lambda b: F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)))
+def with_matches(df: DataFrame, name: str, text: str, pattern: str, when: str) -> DataFrame:
+    """``df`` with ``name``: start, end and text of each match in column ``text``, leftmost and without overlap, where column ``when`` holds.
+
+    Each step is a column of its own, or Spark would work out shared parts again
+    for every use.
+    """
+    pair = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, own: F.struct(F.char_length(gap).alias("gap"), own.alias("match")))
+    steps = F.transform(F.filter(pair, lambda s: s["match"].isNotNull()), lambda s: F.struct(s["gap"].alias("gap"), F.char_length(s["match"]).alias("own"), s["match"].alias("match")))
+    df = df.withColumn(name, F.when(F.col(when), steps))
     length = lambda s: s["gap"] + s["own"]
-    sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, s: acc + length(s)))
-    bases = F.aggregate(sums, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)))
-    inside = F.zip_with(
-        blocks,
-        bases,
-        lambda block, base: F.zip_with(
-            block,
-            F.aggregate(F.coalesce(block, F.filter(steps, lambda s: F.lit(False))), F.array(base), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + length(s)))),
-            lambda s, at: F.struct((at + s["gap"]).alias("start"), (at + s["gap"] + s["own"]).alias("end"), s["match"].alias("match")),
-        ),
-    )
-    every = F.filter(F.flatten(F.slice(inside, 1, F.size(blocks))), lambda s: s["match"].isNotNull())
-    return F.when(F.size(found) > 0, every)
+    last = F.floor((F.size(name) - 1) / _BLOCK).cast("int")
+    df = df.withColumn(name, F.when(F.size(name) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(name, b * _BLOCK + 1, F.lit(_BLOCK)))))
+    grow = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+    sums = F.transform(name, lambda block: F.aggregate(block, F.lit(0), lambda acc, s: acc + length(s)))
+    df = df.withColumn("before", F.aggregate(F.slice(sums, F.lit(1), F.greatest(F.size(name) - 1, F.lit(0))), F.array(F.lit(0)), grow))
+    place = lambda s, at: F.struct((at + s["gap"]).alias("start"), (at + s["gap"] + s["own"]).alias("end"), s["match"].alias("match"))
+    inside = lambda block, base: F.zip_with(block, F.aggregate(block, F.array(base), lambda acc, s: grow(acc, length(s))), place)
+    found = F.filter(F.flatten(F.zip_with(name, "before", inside)), lambda s: s["match"].isNotNull())
+    return df.withColumn(name, found).drop("before")
 
 
 def _digits(match: Column) -> Column:
@@ -114,18 +111,12 @@ def base_spans(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("digit", F.regexp_like("text", F.lit("[0-9]"))).withColumn("at", F.contains("text", F.lit("@"))).withColumn("plus", F.contains("text", F.lit("+")))
     rows = rows.withColumn("dotted", F.when(F.col("at"), F.regexp_replace("text", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)))
     rows = rows.withColumn("joined", F.when(F.col("digit"), F.regexp_replace("text", r"(?<=[0-9])[\x20-](?=[0-9])", _JOIN)))
-    found = {
-        "email": F.when(F.col("at"), matches(F.col("dotted"), EMAIL)),
-        "ip": F.when(F.col("digit"), matches(F.col("text"), IP)),
-        "card": F.when(F.col("digit"), matches(F.col("joined"), CARD)),
-        "phone": F.when(F.col("plus"), matches(F.col("text"), PHONE)),
-    }
-    for kind, column in found.items():
-        rows = rows.withColumn(kind, column)
+    for kind, text, pattern, when in (("email", "dotted", EMAIL, "at"), ("ip", "text", IP, "digit"), ("card", "joined", CARD, "digit"), ("phone", "text", PHONE, "plus")):
+        rows = with_matches(rows, kind, text, pattern, when)
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     kept = [F.coalesce(_kept(i), nothing) for i in range(len(KINDS))]
     rows = rows.withColumn("base", F.array_sort(F.concat(*kept)))
-    rows = rows.withColumn("cut", F.when(F.col("digit") | F.col("at"), matches(F.col("text"), CANDIDATE)))
+    rows = with_matches(rows.withColumn("either", F.col("digit") | F.col("at")), "cut", "text", CANDIDATE, "either")
     blank = r"[\x20\x09-\x0D]+"
     beside = lambda m: F.struct(
         m["start"].cast("int").alias("start"),

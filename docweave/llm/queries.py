@@ -6,6 +6,7 @@ import importlib
 
 #: Query name: module and function.
 _QUERIES = {
+    "op1_ann": ("ann", "op1_ann"),
     "op2_decontaminate": ("decontaminate", "op2_decontaminate"),
     "op3_pii": ("pii", "op3_pii"),
     "op4_substring_dedup": ("substring_dedup", "op4_substring_dedup"),
