@@ -10,6 +10,7 @@ _QUERIES = {
     "op2_decontaminate": ("decontaminate", "op2_decontaminate"),
     "op3_pii": ("pii", "op3_pii"),
     "op4_substring_dedup": ("substring_dedup", "op4_substring_dedup"),
+    "op5_sharding": ("sharding", "op5_sharding"),
     "op6_toxicity": ("toxicity", "op6_toxicity"),
     "op7_near_dup": ("near_dup", "op7_near_dup"),
     "op8_packing": ("packing", "op8_packing"),
@@ -23,4 +24,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .sharding import OP5_SQL
+
+    return {"op5_sharding": OP5_SQL}
