@@ -181,6 +181,26 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with each span in ``text`` replaced by its kind in brackets, and ``n_chars``, where there is one, counted anew. A span that begins inside the one before is covered by it."""
+    found = personal_data(docs, rounds).select("doc", "tag", F.array_sort(F.concat("base", "added")).alias("spans")).filter(F.size("spans") > 0).distinct()
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))]
+    names = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key[0].alias("doc"), key[1].alias("tag")).join(found, ["doc", "tag"], "left")
+    start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("kept"))
+    grow = lambda acc, s: F.struct(s["end"].alias("upto"), F.concat(acc["kept"], F.array(s)).alias("kept"))
+    apart = F.aggregate("spans", start, lambda acc, s: F.when(s["start"] >= acc["upto"], grow(acc, s)).otherwise(acc), lambda acc: acc["kept"])
+    rows = rows.withColumn("spans", apart)
+    label = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    text = F.col("row.text").cast("string")
+    ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"]))
+    parts = F.zip_with("spans", F.slice(ends, F.lit(1), F.size("spans")), lambda s, was: F.concat(F.substring(text, was + 1, s["start"] - was), F.element_at(label, s["kind"] + 1)))
+    clean = F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(ends, -1) + 1, F.char_length(text)))
+    rows = rows.withColumn("clean", F.when(F.size("spans") > 0, clean).otherwise(text))
+    new = {"text": F.col("clean"), "n_chars": F.coalesce(F.char_length("clean").cast("long"), F.col("row.n_chars")) if "n_chars" in names else None}
+    return rows.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in names))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query over ``documents``."""
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -346,8 +346,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lex
     return draft._replace(model=fit_model(x[order], y[order]))
 
 
-def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with ``score``: all columns, row by row, without a shuffle."""
+def score_documents(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
+    """``docs`` with ``name``, the score: all columns, row by row, without a shuffle."""
     names = docs.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     spread = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON_ENTRIES words, their stems and the words near them
@@ -357,9 +357,9 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
         scorer = Scorer(spread.value)
         for batch, own in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scorer.scores(own))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scorer.scores(own))], names=[*names, name])
 
-    return docs.mapInArrow(score, f"{schema}, score double")
+    return docs.mapInArrow(score, f"{schema}, `{name}` double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
