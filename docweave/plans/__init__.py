@@ -1 +1,13 @@
-"""Plans of the engine."""
+"""Queries over the driver tables, by family."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("tables_and_joins", "aggregates_and_windows", "graph_and_revisions", "text_and_geometry", "sources_and_streams")
+
+
+def load() -> None:
+    """Register all queries."""
+    for module in MODULES:
+        importlib.import_module(f"{__name__}.{module}")
