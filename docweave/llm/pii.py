@@ -148,7 +148,7 @@ def discover(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     seen = materialize(_occurrences(spans), "occurrences")
     plain = lambda c: F.regexp_replace(c, r"^[.,;!?()\[\]\"'<>]+|[.,;!?()\[\]\"'<>]+$", "")
     seen = seen.withColumn("instance", plain("token")).filter(F.length("instance") > 0)
-    word = lambda c: F.when(F.regexp_like(c, F.lit(r"^[^0-9@]+$")), c)
+    word = lambda c: F.when(F.regexp_like(c, F.lit(r"^[^0-9@]+$")), F.col(c))
     contexts = F.array_compact(F.array(F.concat(F.lit("<"), word("left")), F.concat(F.lit(">"), word("right")), F.concat(F.lit("<>"), word("left"), F.lit(" "), word("right"))))
     edges = materialize(seen.select("instance", F.explode(contexts).alias("pattern")).distinct(), "edges")
     seeds = materialize(seen.filter("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0)), "seeds")
