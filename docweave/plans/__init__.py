@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tables_and_joins", "aggregates_and_windows", "graph_and_revisions", "text_and_geometry", "sources_and_streams")
+MODULES = ("tables_and_joins", "aggregates_and_windows", "graph_and_revisions", "text_and_geometry", "model_checks", "sources_and_streams")
 
 
 def load() -> None:
