@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     pairs = materialize(star_pairs(classes.select("rep", "bands")), "pairs")
     wanted = pairs.select(F.col("leader").alias("doc")).union(pairs.select(F.col("member").alias("doc"))).distinct()
-    texts = materialize(named.join(wanted, "doc", "left_semi"), "texts")
+    # one plan at every size: texts are dealt by id once, and the ids wanted are the hashed side
+    texts = materialize(named.join(wanted.hint("shuffle_hash"), "doc", "left_semi"), "texts")
     stars = materialize(confirm_stars(pairs, texts, k, percent), "stars")
     links = stars.filter("ok").select(F.col("leader").alias("a"), F.col("member").alias("b")).union(block_links(stars, texts, k, percent)).union(by_id)
     found = connected_components(links)
