@@ -47,17 +47,13 @@ FLUSH = 1_000_000
 #: doc_id that stands for null, below all others.
 NO_ID = -(1 << 63)
 
-_PACKED = "bucket int, settled boolean, n int, payload binary"
-
-
-def _leaf_type():
-    import numpy as np
-
-    return np.dtype([("path", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("many", "<i4")])
+_PACKED = "bucket int, flag boolean, n int, payload binary"
+_LEAF = [("path", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("many", "<i4")]
+_MARK = [("doc", "<i8"), ("tag", "<i4"), ("at", "<i4")]
 
 
 def _starts(words, window: int):
-    """Starts of whole windows, and for each the place of the suffix kept for it."""
+    """Starts of whole windows, for each the place of the suffix kept for it, and the prefix hash at every place."""
     import numpy as np
 
     n = len(words.code)
@@ -72,97 +68,122 @@ def _starts(words, window: int):
     return start, kept[start], prefix
 
 
-def _send(leaves, deal, buckets: int) -> Iterator:
-    """Packed rows of leaves: repeats among them settled, one leaf of each path dealt by ``deal``."""
+def _packed(records, to, flag: bool) -> Iterator:
+    """Records as rows of packed columns, one row for each bucket that ``to`` names."""
     import numpy as np
     import pyarrow as pa
 
-    rows = []
-    order = np.lexsort((leaves["at"], leaves["tag"], leaves["doc"], leaves["path"]))
-    leaves, deal = leaves[order], deal[order]
-    new = np.ones(len(leaves), dtype=bool)
-    new[1:] = leaves["path"][1:] != leaves["path"][:-1]
-    heads = np.flatnonzero(new)
-    size = np.diff(np.append(heads, len(leaves)))
-    settled = leaves[~new]
-    settled["many"] = np.repeat(size, size)[~new]
-    head = leaves[heads]
-    head["many"] = size
-    to = ((mix(deal[heads]) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    for part, own, done in ((head, to, False), (settled, np.abs(settled["doc"]) % buckets, True)):
-        order = np.argsort(own, kind="stable")
-        part, own = part[order], own[order]
-        cuts = np.flatnonzero(np.diff(own)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)]):
-            if b > a:
-                columns = b"".join(np.ascontiguousarray(part[f][a:b]).tobytes() for f in part.dtype.names)
-                rows.append((int(own[a]), done, b - a, columns))
+    order = np.argsort(to, kind="stable")
+    records, to, rows = records[order], to[order], []
+    cuts = np.flatnonzero(np.diff(to)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(to)]):
+        if b > a:
+            rows.append((int(to[a]), flag, b - a, b"".join(np.ascontiguousarray(records[f][a:b]).tobytes() for f in records.dtype.names)))
     for at in range(0, len(rows), 256):
         columns = list(zip(*rows[at : at + 256]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.int32(), pa.binary()))], names=["bucket", "settled", "n", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.int32(), pa.binary()))], names=["bucket", "flag", "n", "payload"])
+
 
+def _unpacked(batches: Iterator, kind: list) -> Iterator:
+    """flag and records of each packed row."""
+    import numpy as np
+
+    for batch in batches:
+        for flag, n, payload in zip(*(batch.column(c).to_pylist() for c in ("flag", "n", "payload"))):
+            records, at = np.empty(n, dtype=kind), 0
+            for f in records.dtype.names:
+                size = n * records.dtype[f].itemsize
+                records[f] = np.frombuffer(payload[at : at + size], dtype=records.dtype[f])
+                at += size
+            yield flag, records
 
-def _unpack(n: int, payload: bytes):
+
+def _nodes(leaves):
+    """Leaves in order of path, document and start, whether each is the first of its node, and where nodes begin."""
     import numpy as np
 
-    kind, at = _leaf_type(), 0
-    out = np.empty(n, dtype=kind)
-    for f in kind.names:
-        size = n * kind[f].itemsize
-        out[f] = np.frombuffer(payload[at : at + size], dtype=kind[f])
-        at += size
-    return out
+    leaves = leaves[np.lexsort((leaves["at"], leaves["tag"], leaves["doc"], leaves["path"]))]
+    new = np.ones(len(leaves), dtype=bool)
+    new[1:] = leaves["path"][1:] != leaves["path"][:-1]
+    return leaves, new, np.flatnonzero(new)
 
 
-_GATHERED = "doc long, tag int, starts binary, crowded boolean"
+def _bucket(key, buckets: int):
+    import numpy as np
 
+    return ((mix(key) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
-def _gather(batches: Iterator, all_leaves: bool, most: int) -> Iterator:
-    """Per document, the starts of leaves below branching nodes: all of them, or all but the earliest.
 
-    Rows marked ``crowded`` hold paths of nodes with more than ``most`` leaves instead.
-    """
+def _marks(leaves, buckets: int) -> Iterator:
+    """Packed document, tag and start of leaves, dealt by document."""
     import numpy as np
-    import pyarrow as pa
 
-    def row(doc, tag, starts, crowded):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc, type=pa.int64()), pa.array(tag, type=pa.int32()), pa.array(starts, type=pa.binary()), pa.array([crowded] * len(starts))], names=["doc", "tag", "starts", "crowded"]
-        )
-
-    def out(leaves):
-        leaves = leaves[np.lexsort((leaves["at"], leaves["tag"], leaves["doc"]))]
-        at = leaves["at"]
-        cuts = np.flatnonzero((np.diff(leaves["doc"]) != 0) | (np.diff(leaves["tag"]) != 0)) + 1
-        bounds = [0, *cuts.tolist(), len(leaves)]
-        for i in range(0, len(bounds) - 1, 10_000):
-            part = bounds[i : i + 10_001]
-            firsts = np.array(part[:-1])
-            yield row(leaves["doc"][firsts], leaves["tag"][firsts], [at[a:b].tobytes() for a, b in zip(part, part[1:])], False)
-
-    waiting = []
-    for batch in batches:
-        for settled, n, payload in zip(batch.column("settled").to_pylist(), batch.column("n").to_pylist(), batch.column("payload").to_pylist()):
-            leaves = _unpack(n, payload)
-            if settled:
-                yield from out(leaves)
-            else:
-                waiting.append(leaves)
+    marks = np.empty(len(leaves), dtype=_MARK)
+    for f in marks.dtype.names:
+        marks[f] = leaves[f]
+    yield from _packed(marks, _bucket(marks["doc"].astype(np.uint64), buckets), True)
+
+
+def _send(leaves, deal, buckets: int) -> Iterator:
+    """Packed leaves: one of each path, dealt by ``deal``, and flagged the later ones of each path, whose node is settled."""
+    import numpy as np
+
+    place = np.lexsort((leaves["at"], leaves["tag"], leaves["doc"], leaves["path"]))
+    deal = deal[place]
+    leaves, new, heads = _nodes(leaves)
+    leaves["many"] = np.repeat(np.diff(np.append(heads, len(leaves))), np.diff(np.append(heads, len(leaves))))
+    yield from _packed(leaves[heads], _bucket(deal[heads], buckets), False)
+    settled = leaves[~new]
+    yield from _packed(settled, _bucket(settled["path"] + settled["doc"].astype(np.uint64), buckets), True)
+
+
+def _gather(batches: Iterator, all_leaves: bool, most: int, buckets: int) -> Iterator:
+    """Marks of leaves below branching nodes: all of them, or all but the earliest. Rows without flag hold paths of nodes with more than ``most`` leaves."""
+    import numpy as np
+
+    waiting, done, held = [], [], 0
+    for settled, leaves in _unpacked(batches, _LEAF):
+        if settled:
+            done.append(leaves)
+            held += len(leaves)
+            if held >= FLUSH:
+                yield from _marks(np.concatenate(done), buckets)
+                done, held = [], 0
+        else:
+            waiting.append(leaves)
     if waiting:
-        leaves = np.concatenate(waiting)
+        leaves, new, heads = _nodes(np.concatenate(waiting))
         waiting.clear()
-        order = np.lexsort((leaves["at"], leaves["tag"], leaves["doc"], leaves["path"]))
-        leaves = leaves[order]
-        new = np.ones(len(leaves), dtype=bool)
-        new[1:] = leaves["path"][1:] != leaves["path"][:-1]
-        heads = np.flatnonzero(new)
         total = np.add.reduceat(leaves["many"].astype(np.int64), heads)
-        size = np.diff(np.append(heads, len(leaves)))
-        if (total > most).any():
-            yield row([0], [0], [leaves["path"][heads[total > most]].tobytes()], True)
-        marked = np.repeat(total > 1, size) if all_leaves else ~new
-        if marked.any():
-            yield from out(leaves[marked])
+        crowded = leaves[["path"]][heads[total > most]]
+        yield from _packed(np.array(crowded, dtype=[("path", "<u8")]), np.zeros(len(crowded), dtype=np.int64), False)
+        marked = np.repeat(total > 1, np.diff(np.append(heads, len(leaves)))) if all_leaves else ~new
+        done.append(leaves[marked])
+    if done:
+        yield from _marks(np.concatenate(done), buckets)
+
+
+_BY_DOC = "doc long, tag int, starts binary"
+
+
+def _by_document(batches: Iterator) -> Iterator:
+    """One row for each document of the marks that were dealt here."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [records for _, records in _unpacked(batches, _MARK)]
+    if not parts:
+        return
+    marks = np.concatenate(parts)
+    parts.clear()
+    marks = marks[np.lexsort((marks["at"], marks["tag"], marks["doc"]))]
+    cuts = np.flatnonzero((np.diff(marks["doc"]) != 0) | (np.diff(marks["tag"]) != 0)) + 1
+    bounds = [0, *cuts.tolist(), len(marks)]
+    for i in range(0, len(bounds) - 1, 2_000):
+        part = bounds[i : i + 2_001]
+        first = np.array(part[:-1])
+        starts = [np.ascontiguousarray(marks["at"][a:b]).tobytes() for a, b in zip(part, part[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(marks["doc"][first]), pa.array(marks["tag"][first]), pa.array(starts, type=pa.binary())], names=["doc", "tag", "starts"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -172,11 +193,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_starts(keyed: DataFrame, window: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
-    """doc, tag and ``starts`` (packed 32-bit numbers, in several rows of a document) of windows that also start earlier."""
+    """doc, tag and ``starts`` (packed 32-bit numbers) of windows that also start earlier."""
     import numpy as np
 
     width = shuffle_width(keyed.sparkSession)
-    buckets = 8 * width
+    buckets = width
 
     def flushed(made: Iterator) -> Iterator:
         import numpy as np
@@ -197,7 +218,7 @@ def repeated_starts(keyed: DataFrame, window: int = WINDOW, group_suffixes: int
         import numpy as np
 
         row = np.searchsorted(words.first, at, side="right") - 1
-        made = np.empty(len(at), dtype=_leaf_type())
+        made = np.empty(len(at), dtype=_LEAF)
         made["path"], made["at"], made["many"] = path, at - words.first[row], 1
         for field in ("doc", "tag"):
             made[field] = np.asarray(batch.column(field))[row]
@@ -225,8 +246,8 @@ def repeated_starts(keyed: DataFrame, window: int = WINDOW, group_suffixes: int
                 if not len(start):
                     continue
                 branches = np.zeros(len(words.code), dtype=bool)
-                for first, count, parts in zip(words.first, np.diff(words.first), batch.column("starts").to_pylist()):
-                    at = np.frombuffer(b"".join(parts), dtype="<i4")
+                for first, count, own in zip(words.first, np.diff(words.first), batch.column("starts").to_pylist()):
+                    at = np.frombuffer(own, dtype="<i4")
                     branches[first + at[at < count]] = True
                 start, kept = start[branches[kept]], kept[branches[kept]]
                 path = run_codes(words.code, window)[start]
@@ -235,18 +256,17 @@ def repeated_starts(keyed: DataFrame, window: int = WINDOW, group_suffixes: int
         yield from flushed(made())
 
     dealt = lambda df: df.repartition(width, "bucket")
-    branching = materialize(dealt(keyed.mapInArrow(suffixes, _PACKED)).mapInArrow(lambda b: _gather(b, True, group_suffixes), _GATHERED), "branching")
+    branching = materialize(dealt(keyed.mapInArrow(suffixes, _PACKED)).mapInArrow(lambda b: _gather(b, True, group_suffixes, buckets), _PACKED), "branching")
     # one number for each prefix with more than group_suffixes suffixes: at most (suffixes / group_suffixes) of them
-    crowded = np.frombuffer(b"".join(r.starts for r in branching.filter("crowded").select("starts").collect()), dtype="<u8")
-    by_doc = branching.filter("not crowded").groupBy("doc", "tag").agg(F.collect_list("starts").alias("starts"))
-    below = keyed.join(by_doc, ["doc", "tag"]).select("doc", "tag", "text", "starts").mapInArrow(windows, _PACKED)
-    return dealt(below).mapInArrow(lambda b: _gather(b, False, 1 << 60), _GATHERED).select("doc", "tag", "starts")
+    crowded = np.frombuffer(b"".join(r.payload for r in branching.filter("not flag").select("payload").collect()), dtype="<u8")
+    below = keyed.join(dealt(branching.filter("flag")).mapInArrow(_by_document, _BY_DOC), ["doc", "tag"]).select("doc", "tag", "text", "starts").mapInArrow(windows, _PACKED)
+    return dealt(dealt(below).mapInArrow(lambda b: _gather(b, False, 1 << 60, buckets), _PACKED)).mapInArrow(_by_document, _BY_DOC)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document; with ``keep_text`` also the kept words as ``text``."""
     keyed = _keyed(docs)
-    marked = repeated_starts(keyed, window, group_suffixes).groupBy("doc", "tag").agg(F.collect_list("starts").alias("starts"))
+    marked = repeated_starts(keyed, window, group_suffixes)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
 
     def keep(batches: Iterator) -> Iterator:
@@ -255,12 +275,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fals
 
         for batch, texts in text_slices(batches):
             rows = []
-            for doc, text, parts in zip(batch.column("doc").to_pylist(), texts, batch.column("starts").to_pylist()):
+            for doc, text, starts in zip(batch.column("doc").to_pylist(), texts, batch.column("starts").to_pylist()):
                 words = text.split()
                 n = len(words)
-                if parts:
+                if starts:
                     cover = np.zeros(n + 1, dtype=np.int64)
-                    at = np.frombuffer(b"".join(parts), dtype="<i4")
+                    at = np.frombuffer(starts, dtype="<i4")
                     np.add.at(cover, at, 1)
                     np.add.at(cover, np.minimum(at + window, n), -1)
                     words = [w for w, c in zip(words, np.cumsum(cover).tolist()) if not c]
