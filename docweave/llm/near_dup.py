@@ -96,14 +96,13 @@ def confirm_stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     def checked(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        last_id, last_set = None, None
+        last_text, last_set = None, None
         for batch, members in text_slices(batches):
-            leaders, ok = batch.column("leader").to_pylist(), []
-            sets = shingle_sets(members, k)
-            leader_texts = batch.column("leader_text")
-            for i, (leader, own) in enumerate(zip(leaders, sets)):
-                if leader != last_id:
-                    last_id, last_set = leader, shingle_sets([leader_texts[i].as_py().encode("utf-8")], k)[0]
+            ok, leader_texts = [], batch.column("leader_text")
+            for i, own in enumerate(shingle_sets(members, k)):
+                text = leader_texts[i].as_py()
+                if text != last_text:  # the join brings a leader's rows one after the other
+                    last_text, last_set = text, shingle_sets([text.encode("utf-8")], k)[0]
                 ok.append(linked(last_set, own, percent))
             yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("member"), pa.array(ok)], names=["leader", "member", "ok"])
 
