@@ -33,7 +33,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, shuffle_width
+from .shared import buckets_for, materialize, shuffle_width
 
 NEIGHBOURS = 20
 TREES = 16
@@ -42,6 +42,8 @@ SAMPLE = 20_000
 LEAF, LEAF_SAMPLE = 64, 12
 #: Index entries a query's leaves hold together, over the number of vectors.
 VISITED = 1.5
+#: Vectors and queries that meet in one task, about.
+BLOCK_ROWS = 4096
 SEED = 20_240
 
 
@@ -181,12 +183,18 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREE
                 mask = spread.value.search(np.array(part.column("v").to_pylist(), dtype=np.float64), sizes, visited * n)
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array([np.packbits(m).tobytes() for m in mask], type=pa.binary())], names=["vec_id", "v", "mask"])
 
-    blocks = shuffle_width(spark)
-    asked = rows.filter(is_query).repartition(blocks).mapInArrow(searched, "vec_id long, v array<double>, mask binary")
+    # blocks of bounded rows on either side, whatever the number of partitions
+    blocks = buckets_for(n, BLOCK_ROWS)
+    chosen = rows.filter(is_query)
+    query_blocks = buckets_for(chosen.count(), BLOCK_ROWS)
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    asked = chosen.repartition(shuffle_width(spark)).mapInArrow(searched, "vec_id long, v array<double>, mask binary")
     asked = asked.select(F.col("vec_id").alias("query_id"), "v", "mask", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("leaves"))
     nothing = F.lit(None).cast("long").alias("query_id"), "v", F.lit(None).cast("binary").alias("mask"), "ids", "leaves"
     dealt = index.select(*nothing, F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("block"))
-    dealt = dealt.unionByName(asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    dealt = dealt.withColumn("query_block", each(query_blocks))
+    asked = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
+    dealt = dealt.unionByName(asked.withColumn("block", each(blocks)))
 
     def ranked(table):
         import pyarrow as pa
@@ -222,7 +230,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREE
                         column.append(value)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    best = dealt.groupBy("block").applyInArrow(ranked, "query_id long, vec_id long, score double")
+    best = dealt.groupBy("query_block", "block").applyInArrow(ranked, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
