@@ -11,32 +11,40 @@ many tokens any prefix has (``tokens_at``) and where a budget ends
 Two tokens are compatible if no merge of the vocabulary crosses their border
 while both sides are built, which their merge trees' facing edges tell.
 
+A prefix counts as a text of its own. Where its end changes the split into pieces
+(in white space before a word, in a contraction, in a special token) its count is
+the one of its own split. A prefix that ends inside a character counts the bytes
+it has as part of the piece that the character belongs to.
+
+Counts are stored as steps, one number for each byte of the text: twice the count
+up to and with this byte less the count before it, plus one where the byte does
+not end a character. They take one byte each, or two each in a text with a step
+that needs them; ``n_bytes`` tells which.
+
 Defined results: a null or empty text has no tokens; strings of special tokens
-inside a text count as the library counts them by default (one token each);
-texts with white space that libraries define differently are counted by the
-library itself. Repeated rows give repeated rows; columns other than the id and
-the text are not read.
+inside a text count as the library counts them by default (one token each).
+Repeated rows give repeated rows; columns other than the id and the text are not
+read.
 """
 
 from __future__ import annotations
 
+import array
 import json
 import re
 from collections import ChainMap
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import CACHE_ENTRIES, load_tokenizer, tokenizer_path, worker_local
+from .tokens import CACHE_ENTRIES, tokenizer_path, worker_local
 from .words import text_slices
 
 #: The byte-level tokenizer's own split into pieces. Fixed value of the format.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A coarser split on white space alone; each of its chunks is a whole number of pieces.
-CHUNK = re.compile(r"\s+(?!\S)| ?\S+|\s")
-#: Characters that regular expression libraries disagree on; texts with these are left to the library.
-DISPUTED = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+#: Pieces that their own prefix of two bytes is not: that one is an apostrophe and a letter.
+CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
 #: Bytes of white space and of signs that libraries disagree on, other than blanks and line feeds, or a NUL.
 ODD_BYTES = re.compile(rb"[\0\t\x0b-\x0d\x1c-\x1f]")
 #: First bytes of white space outside ASCII, with what follows.
@@ -75,12 +83,12 @@ class PrefixCounter:
             self.parts.setdefault(self.ids[a + b], (r, self.ids[a], self.ids[b]))
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.split = regex.compile(PIECE)
-        self.library = load_tokenizer(path)
+        self.space = frozenset(regex.findall(r"\s", "".join(map(chr, range(0x3001)))))
         self.edges: tuple[dict, dict] = ({}, {})
         self.fits: dict[int, bool] = {}
         self.entries = entries
-        self.totals: dict[int, int] = {}
-        self.feed = self.chunk_totals(["\n"])[0]
+        self.steps: dict[int, bytes] = {}
+        self.feed = self.prefix_counts("\n")[-1]
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens on one edge of a token's merge tree (0: right, 1: left), each with the rank at which it is merged away."""
@@ -135,98 +143,123 @@ class PrefixCounter:
             else:
                 raise ValueError("no token closes this prefix")
 
-    def piece_counts(self, pieces: set[str]) -> dict[str, int]:
-        """Tokens of many pieces. In sorted order each shares a prefix with the one before, whose counts stand already."""
-        found, last, count, before = {}, [-1], [0], b""
+    def piece_steps(self, pieces: set[str]) -> dict[str, bytes]:
+        """What each byte of many pieces adds to the count, as 16-bit numbers. In sorted order each piece shares a prefix with the one before, whose counts stand already."""
+        found, last, count, steps, before = {}, [-1], [0], array.array("h"), b""
         for piece in sorted(pieces):
             data = piece.encode("utf-8")
             same, most = 0, min(len(data), len(before))
             while same < most and data[same] == before[same]:
                 same += 1
-            del last[same + 1 :], count[same + 1 :]
+            del last[same + 1 :], count[same + 1 :], steps[same:]
             self.extend(data, last, count)
-            found[piece], before = count[-1], data
+            steps.extend([b - a for a, b in zip(count[same:], count[same + 1 :])])
+            found[piece] = array.array("h", (1, 1, count[-1] - 2)).tobytes() if piece in CONTRACTIONS else steps.tobytes()
+            before = data
         return found
 
-    def chunk_totals(self, chunks: list[str]) -> list[int]:
-        """Tokens of chunks, each of which is a whole number of pieces."""
-        cut = list(map(self.split.findall, chunks))
-        found = self.piece_counts(set().union(*cut))
-        return [sum(map(found.__getitem__, pieces)) for pieces in cut]
-
-    def plain(self, text: str) -> bool:
-        """Whether the split at white space is exact for this text."""
-        return not DISPUTED.search(text) and not (self.special and self.special.search(text))
+    def word_steps(self, words: list[str]) -> list[bytes]:
+        """Steps of words, each of which is a whole number of pieces without white space but for one blank before it."""
+        cut = list(map(self.split.findall, words))
+        found = self.piece_steps(set().union(*cut))
+        return [found[own[0]] if len(own) == 1 else b"".join(map(found.__getitem__, own)) for own in cut]
 
-    def count(self, text: str) -> int:
-        """Tokens of a whole text, by its own chunks."""
-        if not self.plain(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        return sum(self.chunk_totals(CHUNK.findall(text)))
+    def text_steps(self, texts: list[str]) -> list:
+        """Steps of each whole text, whatever white space and special tokens it has."""
+        import numpy as np
 
-    def count_many(self, texts: list[bytes | None]):
-        """Tokens of each whole text.
+        cut, wanted = [], set()
+        for text in texts:
+            parts, at = [], 0
+            for own in self.special.finditer(text) if self.special else ():
+                # up to its last byte a special token is plain text
+                parts.append((self.split.findall(text[at : own.end()]), len(own[0].encode("utf-8"))))
+                at = own.end()
+            parts.append((self.split.findall(text[at:]), 0))
+            cut.append(parts)
+            for pieces, _ in parts:
+                wanted.update(pieces)
+                wanted.update(a + b[0] for a, b in zip(pieces, pieces[1:]) if b[0] in self.space and a[-1] in self.space)
+        found = self.piece_steps(wanted)
+        out = []
+        for parts in cut:
+            steps = [np.empty(0, dtype=np.int64)]
+            for pieces, special in parts:
+                whole = np.cumsum(np.frombuffer(b"".join(map(found.__getitem__, pieces)), dtype=np.int16), dtype=np.int64)
+                counts, at = whole.copy(), 0
+                for a, b in zip(pieces, pieces[1:]):
+                    if b[0] in self.space and a[-1] in self.space:
+                        # white space gives its last sign to what follows, but a prefix that ends there keeps it
+                        own = np.frombuffer(found[a + b[0]], dtype=np.int16)
+                        counts[at + len(own) - 1] = (whole[at - 1] if at else 0) + own.sum()
+                    at += len(found[a]) // 2
+                if special:
+                    counts[-1] = (counts[-1 - special] if len(counts) > special else 0) + 1
+                steps.append(np.diff(counts, prepend=0))
+            out.append(np.concatenate(steps))
+        return out
+
+    def prefix_steps(self, texts: list[bytes | None]):
+        """Tokens of each whole text, and its stored steps.
 
         Where single blanks and line feeds alone stand between words, a word with
         the blank before it and the full stop or comma after its last letter are
-        whole pieces, and so is a line feed: words are told apart by hash, and each
-        distinct one is counted once.
+        whole pieces, and so is a line feed: words are told apart by hash, and the
+        prefixes of each distinct one are counted once.
         """
         import numpy as np
 
         from .words import mix, part_tail, words_of
 
         texts = [t or b"" for t in texts]
-        out = np.zeros(len(texts), dtype=np.int64)
-        odd = [i for i, t in enumerate(texts) if not (even(t) and (t.isascii() or not WIDE_SPACE.search(t)) and not (self.special and b"<|" in t))]
-        for i in odd:
-            out[i] = self.count(texts[i].decode("utf-8"))
+        odd = [i for i, t in enumerate(texts) if not (even(t) and (t.isascii() or not WIDE_SPACE.search(t)) and not (self.special and self.special.search(t.decode("utf-8"))))]
         regular = list(texts)
         for i in odd:
             regular[i] = b""
         words = part_tail(words_of(regular))
-        if not len(words.code):
-            return out
         raw = np.frombuffer(words.data, dtype=np.uint8)
-        blank = raw[words.begin - 1] == 0x20
-        code, where, which = np.unique(mix(words.code + blank.astype(np.uint64)), return_index=True, return_inverse=True)
-        codes, known = code.tolist(), self.totals
-        new = [i for i, c in enumerate(codes) if c not in known]
-        if new:
-            at, data = where[new], words.data
-            spans = zip((words.begin[at] - blank[at]).tolist(), words.end[at].tolist())
-            found = self.chunk_totals([data[a:b].decode("utf-8") for a, b in spans])
-            table = known if len(known) + len(new) <= self.entries else ChainMap({}, known)
-            table.update(zip([codes[i] for i in new], found))
-            known = table
-        each = np.fromiter(map(known.__getitem__, codes), dtype=np.int64, count=len(codes))[which]
-        total = np.concatenate([[0], np.cumsum(each)])
-        feeds = np.fromiter((t.count(b"\n") for t in regular), dtype=np.int64, count=len(regular))
-        return out + total[words.first[1:]] - total[words.first[:-1]] + feeds * self.feed
-
-    def prefixes(self, text: str) -> tuple[list[int], list[int]]:
-        """Byte ends of the chunks and the tokens of the text up to each."""
-        if not self.plain(text):
-            encoded = self.library.encode(text, add_special_tokens=False)
-            ends, counts = [], []
-            size, at = 0, 0
-            for n, (_, end) in enumerate(encoded.offsets, 1):
-                size += len(text[at:end].encode("utf-8"))
-                at = max(at, end)
-                if ends and ends[-1] == size:
-                    counts[-1] = n
-                else:
-                    ends.append(size)
-                    counts.append(n)
-            return ends, counts
-        ends, counts, size, total = [], [], 0, 0
-        chunks = CHUNK.findall(text)
-        for chunk, n in zip(chunks, self.chunk_totals(chunks)):
-            size += len(chunk) if chunk.isascii() else len(chunk.encode("utf-8"))
-            total += n
-            ends.append(size)
-            counts.append(total)
-        return ends, counts
+        steps = np.full(len(raw), self.feed, dtype=np.int64)
+        if len(words.code):
+            blank = raw[words.begin - 1] == 0x20
+            code, where, which = np.unique(mix(words.code + blank.astype(np.uint64)), return_index=True, return_inverse=True)
+            codes, known = code.tolist(), self.steps
+            new = [i for i, c in enumerate(codes) if c not in known]
+            if new:
+                at, data = where[new], words.data
+                spans = zip((words.begin[at] - blank[at]).tolist(), words.end[at].tolist())
+                found = self.word_steps([data[a:b].decode("utf-8") for a, b in spans])
+                table = known if len(known) + len(new) <= self.entries else ChainMap({}, known)
+                table.update(zip([codes[i] for i in new], found))
+                known = table
+            own = list(map(known.__getitem__, codes))
+            # words with their blanks are all that is no line feed
+            steps[raw != 0x0A] = np.frombuffer(b"".join(map(own.__getitem__, which.tolist())), dtype=np.int16)
+        totals, stored, at = np.zeros(len(texts), dtype=np.int64), [], 1
+        special = dict(zip(odd, self.text_steps([texts[i].decode("utf-8") for i in odd])))
+        inside = np.append((raw[1:] & 0xC0) == 0x80, False)
+        coded, sums = 2 * steps + inside, np.concatenate([[0], np.cumsum(steps)])
+        narrow = coded.astype(np.int8)
+        fits, packed = np.array_equal(narrow, coded), narrow.tobytes()
+        for i, t in enumerate(texts):
+            if i in special:
+                own = special[i]
+                totals[i] = own.sum()
+                follows = np.append(np.frombuffer(t, dtype=np.uint8)[1:], np.zeros(min(len(t), 1), dtype=np.uint8))
+                stored.append(_packed(2 * own + ((follows & 0xC0) == 0x80)))
+            else:
+                end = at + len(t)
+                totals[i] = sums[end] - sums[at]
+                stored.append(packed[at:end] if fits else _packed(coded[at:end]))
+            at += len(regular[i]) + 1
+        return totals, stored
+
+
+def _packed(coded) -> bytes:
+    """Numbers in one byte each, or in two each where one of them needs these."""
+    import numpy as np
+
+    narrow = coded.astype(np.int8)
+    return narrow.tobytes() if np.array_equal(narrow, coded) else coded.astype("<i2").tobytes()
 
 
 def counter(path: str) -> PrefixCounter:
@@ -237,10 +270,10 @@ def counter(path: str) -> PrefixCounter:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, store_prefixes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every whole text.
 
-    With ``store_prefixes`` also ``ends`` and ``counts``: the byte offset after
-    each chunk of the text and the tokens up to there.
+    With ``store_prefixes`` also ``steps``: the tokens of every prefix, stored as
+    the module's text says.
     """
-    schema = "doc_id long, n_bytes long, n_tokens long" + ", ends array<int>, counts array<int>" * store_prefixes
+    schema = "doc_id long, n_bytes long, n_tokens long" + ", steps binary" * store_prefixes
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -248,35 +281,54 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, store_prefi
 
         own = counter(tokenizer)
         for batch, texts in text_slices(batches):
-            column = batch.column("text")
-            size = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
-            arrays, names = [batch.column("doc_id"), size], ["doc_id", "n_bytes", "n_tokens"]
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+            totals, stored = own.prefix_steps(texts)
+            arrays, names = [batch.column("doc_id"), size, pa.array(totals, type=pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             if store_prefixes:
-                stored = [own.prefixes((x or b"").decode("utf-8")) for x in texts]
-                arrays += [pa.array([c[-1] if c else 0 for _, c in stored], type=pa.int64()), *(pa.array([s[k] for s in stored], type=pa.list_(pa.int32())) for k in (0, 1))]
-                names += ["ends", "counts"]
-            else:
-                arrays.append(pa.array(own.count_many(texts), type=pa.int64()))
+                arrays.append(pa.array(stored, type=pa.binary()))
+                names.append("steps")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
     out = rows.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
-    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit", *(["ends", "counts"] if store_prefixes else []))
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit", *(["steps"] if store_prefixes else []))
+
+
+def _from_steps(counted: DataFrame, answer: Callable, schema: str) -> DataFrame:
+    """doc_id and what ``answer`` makes of each row's stored numbers."""
+
+    def read(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for size, steps in zip(batch.column("n_bytes").to_pylist(), batch.column("steps").to_pylist()):
+                rows.append(answer(np.frombuffer(steps, dtype=np.int8 if len(steps) == size else "<i2").astype(np.int64)))
+            columns = [pa.array(c, type=pa.int64()) for c in np.array(rows, dtype=np.int64).reshape(len(rows), -1).T]
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    return counted.select("doc_id", "n_bytes", "steps").mapInArrow(read, schema)
 
 
 def tokens_at(counted: DataFrame, n_bytes: int) -> DataFrame:
-    """doc_id and the tokens of the last stored prefix within ``n_bytes``, from stored counts alone."""
-    inside = F.size(F.filter("ends", lambda e: e <= n_bytes))
-    return counted.select("doc_id", F.when(inside > 0, F.element_at("counts", inside)).otherwise(F.lit(0)).cast("long").alias("n_tokens"))
+    """doc_id and the tokens of the first ``n_bytes`` bytes (or of the whole text, where it is shorter), from stored counts alone."""
+    return _from_steps(counted, lambda coded: [int((coded[: max(n_bytes, 0)] >> 1).sum())], "doc_id long, n_tokens long")
 
 
 def truncate_to_budget(counted: DataFrame, budget: int) -> DataFrame:
-    """doc_id, the bytes of the longest stored prefix of at most ``budget`` tokens, and its tokens."""
-    inside = F.size(F.filter("counts", lambda c: c <= budget))
-    at = lambda column: F.when(inside > 0, F.element_at(column, inside)).otherwise(F.lit(0)).cast("long")
-    return counted.select("doc_id", at("ends").alias("keep_bytes"), at("counts").alias("n_tokens"))
+    """doc_id, the bytes of the longest prefix of whole characters of at most ``budget`` tokens, and its tokens, from stored counts alone."""
+
+    def longest(coded) -> list[int]:
+        counts = (coded >> 1).cumsum()
+        fit = ((counts <= budget) & (coded & 1 == 0)).nonzero()[0]
+        return [int(fit[-1]) + 1, int(counts[fit[-1]])] if len(fit) else [0, 0]
+
+    return _from_steps(counted, longest, "doc_id long, keep_bytes long, n_tokens long")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's query over ``documents``."""
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"))
+    """The contract's query over ``documents``, with the counts of all prefixes."""
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"), store_prefixes=True)

@@ -139,6 +139,47 @@ def test_prefix_counts_are_exact():
                 assert counts[i] == len(tok.encode(prefix, add_special_tokens=False).ids)
 
 
+def test_every_prefix_has_its_count(spark):
+    tok = load_tokenizer(BYTE)
+    texts = [
+        "漢字仮名交じり文をそのまま切らずに書き続ける文章です🙂" * 3,
+        "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ" * 4,
+        "function(a,b){return a==b?internationalization:0}//======================================================x",
+        "They're here, we've seen 'll and don't; it's 'relaxed. Übergrößenträger.\nNext line, of plain words.",
+        "a  b   \t c \n\n d\r\n\u3000\u3000e \x85\x85f\u00a0 g\x1c\x1c h\u200b\ufeff i  ",
+        "one  <|endoftext|> two<|endoftext|><|endoftext|>  three <|endoftex",
+        "-" * 300 + " " * 200 + "x",
+        "",
+        None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = token_counts.count_tokens(docs, BYTE, store_prefixes=True).cache()
+    sizes = [[len((t or "")[:i].encode()) for i in range(len(t or "") + 1)] for t in texts]
+    want = [dict(zip(sizes[d], (len(e.ids) for e in tok.encode_batch([(t or "")[:i] for i in range(len(t or "") + 1)], add_special_tokens=False)))) for d, t in enumerate(texts)]
+    rows = {r.doc_id: r for r in stored.collect()}
+    for d, own in enumerate(want):
+        totals, steps = token_counts.counter(BYTE).prefix_steps([texts[d].encode() if texts[d] is not None else None])
+        assert totals[0] == rows[d].n_tokens == own[sizes[d][-1]] and steps[0] == rows[d].steps
+        width = len(steps[0]) // max(rows[d].n_bytes, 1)
+        coded = [int.from_bytes(steps[0][i : i + width], "little", signed=True) for i in range(0, len(steps[0]), max(width, 1))]
+        counts = [0]
+        for c in coded:
+            counts.append(counts[-1] + (c >> 1))
+        assert {n: counts[n] for n in own} == own
+        assert [i + 1 for i, c in enumerate(coded) if not c & 1] == sizes[d][1:]
+    for n in (0, 12, 27, 60):
+        found = by_id(token_counts.tokens_at(stored, n), "n_tokens")
+        assert all(found[d][0] == own[n] for d, own in enumerate(want) if n in own) and found[8] == (0,)
+    for budget in (0, 1, 7, 20, 10_000):
+        best = {d: max((n, c) for n, c in own.items() if c <= budget) for d, own in enumerate(want)}
+        assert by_id(token_counts.truncate_to_budget(stored, budget), "keep_bytes", "n_tokens") == best
+
+
+def test_token_count_query_stores_prefixes(spark, sf_dir):
+    rows = token_counts.op10_token_counts(spark, sf_dir).select("n_bytes", "n_tokens", "steps").collect()
+    assert rows and all(len(r.steps) in (r.n_bytes, 2 * r.n_bytes) for r in rows)
+
+
 def test_sharding(spark, hard_docs, hard_texts):
     rows = sharding.shard(hard_docs, limit=3000).collect()
     sizes = {}
