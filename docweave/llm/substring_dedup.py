@@ -99,13 +99,16 @@ def _unpacked(batches: Iterator, kind: list) -> Iterator:
 
 
 def _nodes(leaves):
-    """Leaves in order of path, document and start, whether each is the first of its node, and where nodes begin."""
+    """Leaves in order of path, document and start, whether each is the first of its node, whether it differs from the one before (rows that repeat give equal leaves), and where nodes begin."""
     import numpy as np
 
     leaves = leaves[np.lexsort((leaves["at"], leaves["tag"], leaves["doc"], leaves["path"]))]
     new = np.ones(len(leaves), dtype=bool)
     new[1:] = leaves["path"][1:] != leaves["path"][:-1]
-    return leaves, new, np.flatnonzero(new)
+    other = new.copy()
+    for field in ("doc", "tag", "at"):
+        other[1:] |= leaves[field][1:] != leaves[field][:-1]
+    return leaves, new, other, np.flatnonzero(new)
 
 
 def _bucket(key, buckets: int):
@@ -130,10 +133,10 @@ def _send(leaves, deal, buckets: int) -> Iterator:
 
     place = np.lexsort((leaves["at"], leaves["tag"], leaves["doc"], leaves["path"]))
     deal = deal[place]
-    leaves, new, heads = _nodes(leaves)
-    leaves["many"] = np.repeat(np.diff(np.append(heads, len(leaves))), np.diff(np.append(heads, len(leaves))))
+    leaves, new, other, heads = _nodes(leaves)
+    leaves["many"][heads] = np.add.reduceat(other.astype(np.int32), heads)
     yield from _packed(leaves[heads], _bucket(deal[heads], buckets), False)
-    settled = leaves[~new]
+    settled = leaves[other & ~new]
     yield from _packed(settled, _bucket(settled["path"] + settled["doc"].astype(np.uint64), buckets), True)
 
 
@@ -152,13 +155,14 @@ def _gather(batches: Iterator, all_leaves: bool, most: int, buckets: int) -> Ite
         else:
             waiting.append(leaves)
     if waiting:
-        leaves, new, heads = _nodes(np.concatenate(waiting))
+        leaves, new, other, heads = _nodes(np.concatenate(waiting))
         waiting.clear()
         total = np.add.reduceat(leaves["many"].astype(np.int64), heads)
         crowded = leaves[["path"]][heads[total > most]]
         yield from _packed(np.array(crowded, dtype=[("path", "<u8")]), np.zeros(len(crowded), dtype=np.int64), False)
-        marked = np.repeat(total > 1, np.diff(np.append(heads, len(leaves)))) if all_leaves else ~new
-        done.append(leaves[marked])
+        branches = (np.add.reduceat(other.astype(np.int64), heads) > 1) | (np.maximum.reduceat(leaves["many"], heads) > 1)
+        marked = np.repeat(branches, np.diff(np.append(heads, len(leaves)))) if all_leaves else ~new
+        done.append(leaves[marked & other])
     if done:
         yield from _marks(np.concatenate(done), buckets)
 

@@ -209,6 +209,17 @@ def test_odd_rows(odd_docs, spark):
     assert orc_tokens.token_positions(spark, path).agg(F.max(F.col("start") + F.col("n_tokens")), F.sum("n_tokens")).first() == tuple([orc_tokens.token_positions(spark, path).agg(F.sum("n_tokens")).first()[0]] * 2)
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_repeated_rows_keep_their_text(spark, parts):
+    unique = " ".join(f"u{i}" for i in range(50))
+    inner = " ".join([*(f"v{i}" for i in range(30))] * 2)
+    rows = [(1, unique)] * 4 + [(2, inner)] * 4 + [(None, unique + " w")] * 2 + [(3, " ".join(f"x{i}" for i in range(40)))] * 2 + [(4, " ".join(f"x{i}" for i in range(25)))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    for group in (1, substring_dedup.GROUP_SUFFIXES):
+        found = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs, group_suffixes=group).collect()), key=repr)
+        assert found == sorted([(1, 50, 50)] * 4 + [(2, 60, 30)] * 4 + [(None, 51, 0)] * 2 + [(3, 40, 0)] * 2 + [(4, 25, 25)] * 2, key=repr)
+
+
 def test_empty_tables(no_docs, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(no_docs, bench).count() == 0
