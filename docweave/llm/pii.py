@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 #: Confidence from which a pattern counts, seeds it must have, and the score from which an instance is added.
 CONFIDENT, LEAST_SEEDS, ACCEPT = 0.6, 3.0, 0.8
-#: Letters or digits of an instance that is no base span, at least.
+#: Letters or digits of an instance that is no base span, at least; one with some on both sides of an @ needs no more.
 LEAST_DIGITS = 4
 NO_ID = -(1 << 63)
 _BLOCK = 256
@@ -72,6 +72,12 @@ def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
 
+def _identifier(instance: Column) -> Column:
+    """Whether an instance that is no base span has enough letters or digits for one."""
+    signs = F.regexp_replace(instance, r"[^\p{L}\p{N}]", "")
+    return (F.length(signs) >= LEAST_DIGITS) | F.regexp_like(instance, F.lit(r"[\p{L}\p{N}]@[\p{L}\p{N}]"))
+
+
 def _luhn(digits: Column) -> Column:
     n = F.char_length(digits)
 
@@ -162,7 +168,7 @@ def discover(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         scores = materialize(seeds.union(reached).groupBy("instance", "kind").agg(F.max("score").alias("score")), "scores")
     best = scores.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("top"))
     added = best.filter(F.col("top.score") >= ACCEPT).select("instance", (-F.col("top.minus")).alias("kind"))
-    loose = seen.filter("kind is null").filter(F.length(_digits(F.col("instance"))) >= LEAST_DIGITS).drop("kind")
+    loose = seen.filter("kind is null").filter(_identifier(F.col("instance"))).drop("kind")
     lead = F.length(F.regexp_extract("token", r"^[.,;!?()\[\]\"'<>]+", 0))
     return loose.join(added, "instance").select("doc", "tag", (F.col("start") + lead).alias("start"), "kind", (F.col("start") + lead + F.length("instance")).alias("end"))
 

@@ -61,6 +61,16 @@ def test_contexts_find_new_identifiers(spark):
     assert clean[50] == "please mail kontakt [EMAIL] today" and clean[3] == "please mail kontakt [EMAIL] today" and clean[51] == rows[-1][1]
 
 
+def test_contexts_find_identifiers_with_few_digits(spark):
+    new = {50: "user@localhost", 51: "jane@intranet", 52: "a@b", 53: "agent7", 54: "x12", 55: "@"}
+    rows = [(i, f"please mail kontakt user{i}@mail.example.com today") for i in range(12)] + [(i, f"please mail kontakt {t} today") for i, t in new.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc: [tuple(s) for s in r.added] for r in pii.personal_data(docs).collect()}
+    assert {i: found[i] for i in new} == {i: [(20, 0, 20 + len(t))] if i < 54 else [] for i, t in new.items()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert all(clean[i] == (f"please mail kontakt {'[EMAIL]' if i < 54 else t} today") for i, t in new.items())
+
+
 @pytest.mark.parametrize("group", [2, substring_dedup.GROUP_SUFFIXES])
 def test_repeats(hard_docs, hard_texts, group):
     found = by_id(substring_dedup.remove_repeats(hard_docs, group_suffixes=group), "n_words", "n_removed", "kept_sha256")
