@@ -188,14 +188,17 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with each span in ``text`` replaced by its kind in brackets, and ``n_chars``, where there is one, counted anew. A span that begins inside the one before is covered by it."""
+    """``docs`` with each span in ``text`` replaced by its kind in brackets, and ``n_chars``, where there is one, counted anew. Spans that overlap are replaced as one, by the kind of the first."""
     found = personal_data(docs, rounds).select("doc", "tag", F.array_sort(F.concat("base", "added")).alias("spans")).filter(F.size("spans") > 0).distinct()
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))]
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key[0].alias("doc"), key[1].alias("tag")).join(found, ["doc", "tag"], "left")
     start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("kept"))
     grow = lambda acc, s: F.struct(s["end"].alias("upto"), F.concat(acc["kept"], F.array(s)).alias("kept"))
-    apart = F.aggregate("spans", start, lambda acc, s: F.when(s["start"] >= acc["upto"], grow(acc, s)).otherwise(acc), lambda acc: acc["kept"])
+    last = lambda acc: F.element_at(acc["kept"], -1)
+    longer = lambda acc, s: F.struct(last(acc)["start"].alias("start"), last(acc)["kind"].alias("kind"), s["end"].alias("end"))
+    widen = lambda acc, s: F.struct(s["end"].alias("upto"), F.concat(F.slice(acc["kept"], F.lit(1), F.size(acc["kept"]) - 1), F.array(longer(acc, s))).alias("kept"))
+    apart = F.aggregate("spans", start, lambda acc, s: F.when(s["start"] >= acc["upto"], grow(acc, s)).when(s["end"] > acc["upto"], widen(acc, s)).otherwise(acc), lambda acc: acc["kept"])
     rows = rows.withColumn("spans", apart)
     label = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col("row.text").cast("string")

@@ -71,6 +71,17 @@ def test_contexts_find_identifiers_with_few_digits(spark):
     assert all(clean[i] == (f"please mail kontakt {'[EMAIL]' if i < 54 else t} today") for i, t in new.items())
 
 
+def test_overlapping_spans_leave_nothing_in_clear(spark):
+    texts = {
+        "call +49 30 1234567 77jane@ex.org now": "call [PHONE] now",
+        "4111 1111 1111 1111@ex.com": "[CARD]",
+        "+49 30 1234567 77jane@ex.org, me@x.org and 10.0.0.1": "[PHONE], [EMAIL] and [IP]",
+        "me@10.0.0.1 a@b.co": "[EMAIL] [EMAIL]",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == dict(enumerate(texts.values()))
+
+
 @pytest.mark.parametrize("group", [2, substring_dedup.GROUP_SUFFIXES])
 def test_repeats(hard_docs, hard_texts, group):
     found = by_id(substring_dedup.remove_repeats(hard_docs, group_suffixes=group), "n_words", "n_removed", "kept_sha256")
