@@ -221,11 +221,11 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREE
                 score = (vectors[candidates] * query).sum(axis=1)
                 best, order = [], np.lexsort((least[candidates], -score))
                 for i in order.tolist():
-                    members = [m for m in ids[candidates[i]] if m != query_id]
-                    best += [(-score[i], m) for m in members[:k]]
-                    if len(best) >= k and (len(best) >= 4 * k or -score[i] > sorted(best)[k - 1][0]):
+                    if len(best) >= k and -score[i] > best[-1][0]:
                         break
-                for s, m in sorted(best)[:k]:
+                    members = [m for m in ids[candidates[i]] if m != query_id]
+                    best = sorted(best + [(-score[i], m) for m in members[:k]])[:k]
+                for s, m in best:
                     for column, value in zip(found, (query_id, m, -s)):
                         column.append(value)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})

@@ -37,6 +37,14 @@ def test_neighbours_with_ties_and_bad_vectors(spark):
     assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(found[q], want[q]))
 
 
+def test_neighbours_among_many_tied_vectors(spark):
+    unit = lambda j: [0.6] + [0.8 if i == j else 0.0 for i in range(1, 8)]
+    rows = [(0, [1.0] + [0.0] * 7)] + [(1 + i, unit(1 + i % 7)) for i in range(7 * 25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = ann.nearest(df, F.col("vec_id") == 0, visited=99.0).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(1, 21))
+
+
 def test_recall(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
