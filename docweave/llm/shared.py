@@ -12,19 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests, a laptop) a folder of this session is
-    set once and used from then on.
+    Where none is named, a local master (tests, a laptop) gets a folder of its own
+    once; any other raises, for its executors would write to their own disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path below this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/docweave-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application. Results that were not written elsewhere can't be read any more."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docweave-{spark.sparkContext.applicationId}")
+    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores as it takes to clash with no column (Spark's names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:

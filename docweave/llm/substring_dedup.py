@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize, shuffle_width
-from .words import mix, run_codes, sliding_min, text_slices, words_of
+from .words import codes, keys, mix, run_codes, sliding_min, text_slices, words_of
 
 WINDOW = 20
 #: Words of a suffix's short prefix.
@@ -56,10 +56,10 @@ def _starts(words, window: int):
     """Starts of whole windows, for each the place of the suffix kept for it, and the prefix hash at every place."""
     import numpy as np
 
-    n = len(words.code)
+    n = len(words.begin)
     if n < window:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    prefix = run_codes(words.code, min(PREFIX, window))
+    prefix = run_codes(codes(*keys(words)), min(PREFIX, window))
     low = np.uint64((1 << 32) - 1)
     ranked = (prefix & ~low) | np.arange(len(prefix), dtype=np.uint64)
     kept = (sliding_min(ranked, window - min(PREFIX, window) + 1) & low).astype(np.int64)
@@ -249,12 +249,12 @@ def repeated_starts(keyed: DataFrame, window: int = WINDOW, group_suffixes: int
                 start, kept, prefix = _starts(words, window)
                 if not len(start):
                     continue
-                branches = np.zeros(len(words.code), dtype=bool)
+                branches = np.zeros(len(words.begin), dtype=bool)
                 for first, count, own in zip(words.first, np.diff(words.first), batch.column("starts").to_pylist()):
                     at = np.frombuffer(own, dtype="<i4")
                     branches[first + at[at < count]] = True
                 start, kept = start[branches[kept]], kept[branches[kept]]
-                path = run_codes(words.code, window)[start]
+                path = run_codes(codes(*keys(words)), window)[start]
                 yield leaves_at(batch, words, start, path), np.where(np.isin(prefix[kept], crowded), path, prefix[kept])
 
         yield from flushed(made())

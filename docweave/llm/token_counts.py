@@ -32,17 +32,18 @@ from __future__ import annotations
 import array
 import json
 import re
-from collections import ChainMap
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import CACHE_ENTRIES, tokenizer_path, worker_local
+from .tokens import CACHE_BYTES, Cache, tokenizer_path, worker_local
 from .words import text_slices
 
 #: The byte-level tokenizer's own split into pieces. Fixed value of the format.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pairs of tokens that a worker keeps judged.
+MOST_PAIRS = 200_000
 #: Pieces that their own prefix of two bytes is not: that one is an apostrophe and a letter.
 CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
 #: Bytes of white space and of signs that libraries disagree on, other than blanks and line feeds, or a NUL.
@@ -65,7 +66,7 @@ def byte_letters() -> dict[str, int]:
 class PrefixCounter:
     """Token counts of every prefix of a piece, under one byte-level vocabulary."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -86,8 +87,7 @@ class PrefixCounter:
         self.space = frozenset(regex.findall(r"\s", "".join(map(chr, range(0x3001)))))
         self.edges: tuple[dict, dict] = ({}, {})
         self.fits: dict[int, bool] = {}
-        self.entries = entries
-        self.steps: dict[int, bytes] = {}
+        self.steps = Cache(cache_bytes)
         self.feed = self.prefix_counts("\n")[-1]
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -120,7 +120,7 @@ class PrefixCounter:
                         break
                 if not known:
                     break
-            if len(self.fits) < 4 * self.entries:
+            if len(self.fits) < MOST_PAIRS:
                 self.fits[a << 32 | b] = known
         return known
 
@@ -204,12 +204,12 @@ class PrefixCounter:
 
         Where single blanks and line feeds alone stand between words, a word with
         the blank before it and the full stop or comma after its last letter are
-        whole pieces, and so is a line feed: words are told apart by hash, and the
-        prefixes of each distinct one are counted once.
+        whole pieces, and so is a line feed: the prefixes of each distinct word are
+        counted once.
         """
         import numpy as np
 
-        from .words import mix, part_tail, words_of
+        from .words import PAD, distinct, keys, part_tail, words_of
 
         texts = [t or b"" for t in texts]
         odd = [i for i, t in enumerate(texts) if not (even(t) and (t.isascii() or not WIDE_SPACE.search(t)) and not (self.special and self.special.search(t.decode("utf-8"))))]
@@ -217,21 +217,14 @@ class PrefixCounter:
         for i in odd:
             regular[i] = b""
         words = part_tail(words_of(regular))
-        raw = np.frombuffer(words.data, dtype=np.uint8)
+        raw = np.frombuffer(words.data, dtype=np.uint8)[: -len(PAD)]
         steps = np.full(len(raw), self.feed, dtype=np.int64)
-        if len(words.code):
-            blank = raw[words.begin - 1] == 0x20
-            code, where, which = np.unique(mix(words.code + blank.astype(np.uint64)), return_index=True, return_inverse=True)
-            codes, known = code.tolist(), self.steps
-            new = [i for i, c in enumerate(codes) if c not in known]
-            if new:
-                at, data = where[new], words.data
-                spans = zip((words.begin[at] - blank[at]).tolist(), words.end[at].tolist())
-                found = self.word_steps([data[a:b].decode("utf-8") for a, b in spans])
-                table = known if len(known) + len(new) <= self.entries else ChainMap({}, known)
-                table.update(zip([codes[i] for i in new], found))
-                known = table
-            own = list(map(known.__getitem__, codes))
+        if len(words.begin):
+            # a word stands with the blank before it, if there is one
+            words = words._replace(begin=words.begin - (raw[words.begin - 1] == 0x20))
+            _, where, which = distinct(*keys(words))
+            chunks = [words.data[a:b] for a, b in zip(words.begin[where].tolist(), words.end[where].tolist())]
+            own = self.steps.results(chunks, lambda new: self.word_steps([c.decode("utf-8") for c in new]))
             # words with their blanks are all that is no line feed
             steps[raw != 0x0A] = np.frombuffer(b"".join(map(own.__getitem__, which.tolist())), dtype=np.int16)
         totals, stored, at = np.zeros(len(texts), dtype=np.int64), [], 1

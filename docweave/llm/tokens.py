@@ -2,18 +2,49 @@
 
 A text is cut only where the tokenizer itself can never join two sides, each
 distinct chunk is encoded once by the library, and a text's ids are the chunks'
-ids in a row. That is exact, and most chunks of a corpus repeat.
+ids in a row. Chunks are told apart by their bytes, so that is exact, and most
+chunks of a corpus repeat.
 """
 
 from __future__ import annotations
 
 import array
 import os
-from collections import ChainMap
 from collections.abc import Callable, Iterable, Iterator
 
-#: Chunks that one Python worker keeps encoded; beyond that they are encoded again.
-CACHE_ENTRIES = 400_000
+#: Bytes of chunks and results that one Python worker keeps, about.
+CACHE_BYTES = 64 << 20
+#: Bytes that an entry takes besides its chunk and its result.
+_ENTRY = 160
+
+
+class Cache:
+    """Results by chunk in two generations: when the younger one holds half of the bytes allowed, it takes the place of the older one, so what recurs stays."""
+
+    def __init__(self, most: int = CACHE_BYTES):
+        self.most, self.held = most, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def results(self, chunks: list, make: Callable[[list], list], size: Callable = len) -> list:
+        """One result for each of some distinct chunks; ``make`` gives those that are not kept."""
+        young, old = self.young, self.old
+        new = []
+        for c in chunks:
+            if c not in young:
+                if c in old:
+                    young[c] = own = old[c]
+                    self.held += len(c) + size(own) + _ENTRY
+                else:
+                    new.append(c)
+        if new:
+            made = make(new)
+            young.update(zip(new, made))
+            self.held += sum(map(len, new)) + sum(map(size, made)) + _ENTRY * len(new)
+        found = list(map(young.__getitem__, chunks))
+        if self.held > self.most // 2:
+            self.old, self.young, self.held = young, {}, 0
+        return found
 
 
 def load_tokenizer(path: str):
@@ -37,17 +68,15 @@ class WordIds:
 
     Such a tokenizer never joins what stands on both sides of ASCII white space,
     nor a letter with the full stop or comma that ends its word, so texts are cut
-    there. Words are told apart by 64-bit hashes within one slice of texts; each
-    distinct one is encoded by the library, from its bytes, and the texts' ids are
-    gathered from those by position.
+    there. Each distinct word (by its bytes, A-Z in lower case) is encoded by the
+    library, and the texts' ids are gathered from those by position.
     """
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         import numpy as np
 
         self.tokenizer = load_tokenizer(path)
-        self.entries = entries
-        self.known: dict[int, bytes] = {}
+        self.cache = Cache(cache_bytes)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -77,21 +106,13 @@ class WordIds:
         """Ids of all texts in a row, as 32-bit numbers, and where each text's begin (and the end). ``end_id`` closes each text."""
         import numpy as np
 
-        from .words import part_tail, words_of
+        from .words import distinct, keys, part_tail, words_of
 
         words = part_tail(words_of(texts, fold=True))
-        code, where, which = np.unique(words.code, return_index=True, return_inverse=True)
-        known, codes = self.known, code.tolist()
-        new = [i for i, c in enumerate(codes) if c not in known]
-        if new:
-            at = where[new]
-            data = words.data
-            found = self.look_up([data[a:b].decode("utf-8") for a, b in zip(words.begin[at].tolist(), words.end[at].tolist())])
-            table = known if len(known) + len(new) <= self.entries else ChainMap({}, known)
-            table.update(zip([codes[i] for i in new], found))
-            parts = list(map(table.__getitem__, codes))
-        else:
-            parts = list(map(known.__getitem__, codes))
+        _, where, which = distinct(*keys(words))
+        data = words.folded.tobytes()
+        chunks = [data[a:b] for a, b in zip(words.begin[where].tolist(), words.end[where].tolist())]
+        parts = self.cache.results(chunks, lambda new: self.look_up([c.decode("utf-8") for c in new]))
         ids = np.frombuffer(b"".join(parts), dtype="<u4")
         size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) >> 2
         begin = np.cumsum(size) - size

@@ -18,7 +18,7 @@
 Every whole text is scored; labels, language, source and id are no inputs.
 
 Defined results: null, empty and wordless texts get the model's score of no hit;
-without labels of both kinds every score is the share of toxic labels (or 0); a
+without labels of both kinds nothing can be learnt and every score is near 0; a
 null doc_id is scored and not held out; repeated rows give repeated rows.
 """
 
@@ -31,14 +31,16 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .tokens import CACHE_ENTRIES
-from .words import text_slices, words_of
+from .tokens import CACHE_BYTES, Cache
+from .words import distinct, keys, text_slices, words_of
 
 TRAIN_ROWS = 20_000
-LEXICON_ENTRIES = 2_000
 #: How many times more often toxic texts must have an entry.
 LIFT = 20.0
+#: Chance, at most, that a term without meaning gets as far.
+CHANCE = 1e-9
 STEM_LETTERS = range(4, 8)
 #: Words around a hit that tell quotation from abuse.
 CONTEXT_WORDS = 4
@@ -176,11 +178,19 @@ def terms_of(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEM_LETTERS if len(w) >= n}
 
 
+def beyond_chance(a: int, b: int, share: float) -> bool:
+    """Whether ``a`` toxic texts among ``a + b`` are beyond what ``share`` gives by chance (Chernoff's bound on the binomial tail)."""
+    n = a + b
+    if not n or a <= n * share:
+        return False
+    gain = a * math.log(a / (n * share)) + (b * math.log(b / (n * (1 - share))) if b else 0.0)
+    return gain >= -math.log(CHANCE)
+
+
 def choose_entries(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with their weights, from (term, toxic texts, clean texts). A stem is taken where it covers clearly more texts than any entry that begins with it."""
-    least = max(4, 0.015 * toxic)
     base = (toxic + 1) / (clean + 1)
-    weight = {t: math.log((a + 0.5) / (b + 0.5) / base) for t, a, b in rows if a >= least}
+    weight = {t: math.log((a + 0.5) / (b + 0.5) / base) for t, a, b in rows if beyond_chance(a, b, toxic / (toxic + clean))}
     support = {t: a for t, a, _ in rows}
     good = sorted((t for t in weight if weight[t] >= math.log(LIFT)), key=lambda t: (t.endswith("*"), -len(t), t))
     words, stems, covered = {}, {}, {}
@@ -200,11 +210,10 @@ class Scorer:
 
     FEATURES = 5
 
-    def __init__(self, lexicon: Lexicon, entries: int = CACHE_ENTRIES):
+    def __init__(self, lexicon: Lexicon, cache_bytes: int = CACHE_BYTES):
         self.lexicon = lexicon
         self.matcher = Matcher(lexicon.words, lexicon.stems)
-        self.entries = entries
-        self.known: dict[int, float] = {}
+        self.cache = Cache(cache_bytes)
 
     def word(self, raw: str) -> float:
         """Weight of a word as it stands between blanks: positive for an entry, negative for a misspelled one."""
@@ -224,18 +233,13 @@ class Scorer:
         words = words_of(texts, fold=True)
         out = np.zeros((len(words.first) - 1, self.FEATURES))
         out[:, -1] = 1
-        if not len(words.code):
+        if not len(words.begin):
             return out
-        code, where, which = np.unique(words.code, return_index=True, return_inverse=True)
-        known, codes, data = self.known, code.tolist(), words.data
-        local = {}
-        for i, c in enumerate(codes):
-            if c not in known:
-                local[c] = self.word(data[words.begin[where[i]] : words.end[where[i]]].decode("utf-8"))
-        if len(known) + len(local) <= self.entries:
-            known.update(local)
-            local = {}
-        weights = np.fromiter((local[c] if c in local else known[c] for c in codes), dtype=np.float64, count=len(codes))[which]
+        _, where, which = distinct(*keys(words))
+        data = words.folded.tobytes()
+        chunks = [data[a:b] for a, b in zip(words.begin[where].tolist(), words.end[where].tolist())]
+        weights = self.cache.results(chunks, lambda new: [self.word(c.decode("utf-8")) for c in new], lambda _: 32)
+        weights = np.array(weights, dtype=np.float64)[which]
         hits = np.flatnonzero(weights)
         row = np.searchsorted(words.first, hits, side="right") - 1
         counts = np.diff(words.first)
@@ -309,13 +313,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lex
             yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "clean"])
 
     counted = train.mapInArrow(count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = [(r.term, r.toxic, r.clean) for r in counted.filter("term = '' or toxic >= 4 and toxic * 4 > clean").orderBy(F.desc("toxic"), "term").limit(20 * LEXICON_ENTRIES).collect()]
+    # terms of the training sample that may qualify; their number is bounded by the sample's words
+    found = [(r.term, r.toxic, r.clean) for r in counted.filter("term = '' or toxic >= 4 and toxic * 4 > clean").orderBy(F.desc("toxic"), "term").collect()]
     totals = next(((a, b) for t, a, b in found if t == ""), (0, 0))
     if not all(totals):
-        share = totals[0] / max(1, sum(totals))
-        return Lexicon({}, {}, frozenset(), (0.0, 0.0, 0.0, 0.0, math.log(share / (1 - share)) if 0 < share < 1 else 30.0 if share else -30.0))
+        return Lexicon({}, {}, frozenset(), (0.0, 0.0, 0.0, 0.0, -30.0))
     words, stems = choose_entries([r for r in found if r[0]], *totals)
-    words = dict(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_ENTRIES])
     draft = Lexicon(words, stems, frozenset(), (0.0,) * Scorer.FEATURES)
 
     def near_words(batches: Iterator) -> Iterator:
@@ -347,10 +350,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lex
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
-    """``docs`` with ``name``, the score: all columns, row by row, without a shuffle."""
+    """``docs`` with ``name``, the score: all columns, row by row, without a shuffle. ``name`` must be none of the columns."""
     names = docs.columns
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    spread = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON_ENTRIES words, their stems and the words near them
+    if name.lower() in (c.lower() for c in names):
+        raise ValueError(f"docs has a column {name} already")
+    spread = docs.sparkSession.sparkContext.broadcast(lexicon)  # grows with the training sample, which TRAIN_ROWS bounds
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -359,7 +363,8 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> D
         for batch, own in text_slices(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scorer.scores(own))], names=[*names, name])
 
-    return docs.mapInArrow(score, f"{schema}, `{name}` double")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema.fields), T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(score, schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
