@@ -26,40 +26,61 @@ from docweave.llm.decontaminate import hits
 from docweave.llm.near_dup import near_duplicates
 from docweave.llm.packing import pack_documents
 from docweave.llm.pii import redact
-from docweave.llm.shared import materialize
+from docweave.llm.shared import fresh, materialize
 from docweave.llm.tokens import tokenizer_path
 from docweave.llm.toxicity import fit, score_documents
 
-_SCORE = "__toxicity"
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic; ``labels`` outside the held-out fold teach what is."""
+    """Documents that are not toxic; ``labels`` outside the held-out fold teach what is.
+
+    Null and empty texts are no hit and stay; rows that repeat a text go or stay
+    together; where labels of one kind are missing, all stay.
+    """
     lexicon = fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_documents(docs, lexicon, _SCORE).filter(F.col(_SCORE) < 0.5).drop(_SCORE)
+    name = fresh("toxicity", docs.columns)
+    return score_documents(docs, lexicon, name).filter(F.col(name) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    dropped = near_duplicates(docs.select("doc_id", "text"), k=5).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Null, empty and wordless texts are like nothing and stay, as do rows without an
+    id; rows that repeat an id are one document and stay or go together.
+    """
+    dropped = fresh("dropped", docs.columns)
+    gone = near_duplicates(docs.select("doc_id", "text"), k=5).filter(~F.col("kept")).select(F.col("doc_id").alias(dropped)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(dropped), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage.
+
+    Null, empty and wordless texts have none and stay; rows that repeat id and text
+    stay or go together; rows without an id are judged by their text.
+    """
     met = hits(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = met.select(F.col("doc.doc_id").alias("__id"), F.col("doc.tag").alias("__tag")).distinct()
+    own_id, own_tag = fresh("hit_id", docs.columns), fresh("hit_tag", docs.columns)
+    found = met.select(F.col("doc.doc_id").alias(own_id), F.col("doc.tag").alias(own_tag)).distinct()
     tag = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(found, (tag == F.col("__tag")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(found, (tag == F.col(own_tag)) & docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)), "left_anti")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced."""
+    """Documents with personal data replaced by its kind.
+
+    Null and empty texts stay as they are, every row stays, and rows that repeat id
+    and text get equal texts.
+    """
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences.
+
+    Null and empty texts are the end id alone; repeated rows are packed as often as
+    they come; no documents give no pieces.
+    """
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
