@@ -39,8 +39,8 @@ from .words import distinct, keys, text_slices, words_of
 TRAIN_ROWS = 20_000
 #: How many times more often toxic texts must have an entry.
 LIFT = 20.0
-#: Chance, at most, that a term without meaning gets as far.
-CHANCE = 1e-9
+#: Chance, at most, that any of the terms looked at gets into the lexicon without meaning.
+CHANCE = 0.01
 STEM_LETTERS = range(4, 8)
 #: Words around a hit that tell quotation from abuse.
 CONTEXT_WORDS = 4
@@ -178,19 +178,19 @@ def terms_of(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEM_LETTERS if len(w) >= n}
 
 
-def beyond_chance(a: int, b: int, share: float) -> bool:
-    """Whether ``a`` toxic texts among ``a + b`` are beyond what ``share`` gives by chance (Chernoff's bound on the binomial tail)."""
+def beyond_chance(a: int, b: int, share: float, terms: int) -> bool:
+    """Whether ``a`` toxic texts among ``a + b`` are beyond what ``share`` gives by chance in one of ``terms`` trials (Chernoff's bound on the binomial tail)."""
     n = a + b
     if not n or a <= n * share:
         return False
     gain = a * math.log(a / (n * share)) + (b * math.log(b / (n * (1 - share))) if b else 0.0)
-    return gain >= -math.log(CHANCE)
+    return gain >= math.log(terms / CHANCE)
 
 
 def choose_entries(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with their weights, from (term, toxic texts, clean texts). A stem is taken where it covers clearly more texts than any entry that begins with it."""
     base = (toxic + 1) / (clean + 1)
-    weight = {t: math.log((a + 0.5) / (b + 0.5) / base) for t, a, b in rows if beyond_chance(a, b, toxic / (toxic + clean))}
+    weight = {t: math.log((a + 0.5) / (b + 0.5) / base) for t, a, b in rows if beyond_chance(a, b, toxic / (toxic + clean), len(rows))}
     support = {t: a for t, a, _ in rows}
     good = sorted((t for t in weight if weight[t] >= math.log(LIFT)), key=lambda t: (t.endswith("*"), -len(t), t))
     words, stems, covered = {}, {}, {}
