@@ -9,20 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Written to the folder that the cluster shares, and read back: rounds neither pile up in the plan nor die with an executor."""
-    spark: SparkSession = df.sparkSession
+#: Rounds after which what was seen becomes one table.
+MERGED = 16
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. A local master without one gets a folder of its own; any other raises, for its executors would write to their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/walk-{uuid.uuid4().hex}"
+    return folder
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the folder that the cluster shares, and read back: rounds neither pile up in the plan nor die with an executor."""
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/docweave-{spark.sparkContext.applicationId}/walk-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """node and depth (fewest edges) of all nodes reachable from ``roots`` (node) over ``edges`` (source, target). Cycles are safe: a node is visited once."""
+    edges = _stored(edges.select("source", "target").distinct())
     frontier = _stored(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in range(1, most_rounds + 1):
@@ -31,6 +44,8 @@ def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> Da
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if depth % MERGED == 0:  # so that the plan does not grow with the rounds
+            seen = _stored(seen)
     raise RuntimeError(f"traversal limit of {most_rounds} rounds")
 
 

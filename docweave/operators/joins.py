@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,27 +49,34 @@ def inherit(df: DataFrame, layers: list[tuple[DataFrame, list[str]]], fields: li
     return df.withColumns(chosen).drop(*(f"__{i}_{f}" for i in range(len(layers)) for f in fields))
 
 
-def overlapping_rectangles(df: DataFrame, keys: list[str], rect: tuple[str, str, str, str], id_column: str) -> DataFrame:
-    """Pairs of rectangles of a group that overlap (touching edges do not), smaller id first. Rectangles without area are left out."""
+def overlapping_rectangles(df: DataFrame, keys: list[str], rect: tuple[str, str, str, str], id_column: str, cell: int = 64) -> DataFrame:
+    """Pairs of rectangles of a group that overlap (touching edges do not), smaller id first. Rectangles without area are left out.
+
+    Rectangles are listed in the grid cells they touch, so only neighbours meet; a pair
+    comes from the cell that holds the upper left corner of what both share.
+    """
     x, y, w, h = rect
-    solid = df.filter((F.col(w) > 0) & (F.col(h) > 0)).select(*keys, id_column, x, y, w, h)
-    a, b = solid.alias("a"), solid.alias("b")
-    col = lambda side, c: F.col(f"{side}.{c}")
-    apart = (
-        (col("a", id_column) < col("b", id_column))
-        & (col("a", x) < col("b", x) + col("b", w))
-        & (col("b", x) < col("a", x) + col("a", w))
-        & (col("a", y) < col("b", y) + col("b", h))
-        & (col("b", y) < col("a", y) + col("a", h))
-    )
-    same = reduce(lambda p, q: p & q, (col("a", k) == col("b", k) for k in keys))
-    return a.join(b, same & apart).select(*(col("a", k).alias(k) for k in keys), col("a", id_column).alias("id_a"), col("b", id_column).alias("id_b"))
-
-
-def spans_meeting(tokens: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Token intervals [t_start, t_end) cut at the runs [r_start, r_end) they reach into; empty meetings are dropped."""
+    solid = df.filter((F.col(w) > 0) & (F.col(h) > 0)).select(*keys, F.col(id_column).alias("id"), *(F.col(c).alias(n) for c, n in zip(rect, "xywh")))
+    span = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size) - 1) / cell))
+    listed = solid.withColumn("__cx", F.explode(span("x", "w"))).withColumn("__cy", F.explode(span("y", "h")))
+    other = listed.select(*keys, "__cx", "__cy", *(F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "w", "h")))
+    met = listed.join(other, [*keys, "__cx", "__cy"]).filter(F.col("id") < F.col("b_id"))
+    left, top = F.greatest("x", "b_x"), F.greatest("y", "b_y")
+    shared = (left < F.least(F.col("x") + F.col("w"), F.col("b_x") + F.col("b_w"))) & (top < F.least(F.col("y") + F.col("h"), F.col("b_y") + F.col("b_h")))
+    first = (F.col("__cx") == F.floor(left / cell)) & (F.col("__cy") == F.floor(top / cell))
+    return met.filter(shared & first).select(*keys, F.col("id").alias("id_a"), F.col("b_id").alias("id_b"))
+
+
+def spans_meeting(tokens: DataFrame, runs: DataFrame, keys: list[str], cell: int = 1000) -> DataFrame:
+    """Token intervals [t_start, t_end) cut at the runs [r_start, r_end) they reach into; empty meetings are dropped.
+
+    Both are listed in the cells they touch, so a long text's tokens do not all meet all
+    of its runs; a pair comes from its first common cell alone.
+    """
+    listed = lambda df, a, b: df.filter(F.col(b) > F.col(a)).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(b) - 1) / cell))))
     start, end = F.greatest("t_start", "r_start"), F.least("t_end", "r_end")
-    return tokens.join(runs, keys).filter((F.col("t_start") < F.col("r_end")) & (F.col("r_start") < F.col("t_end"))).withColumn("start", start).withColumn("end", end)
+    met = listed(tokens, "t_start", "t_end").join(listed(runs, "r_start", "r_end"), [*keys, "__cell"]).withColumn("start", start).withColumn("end", end)
+    return met.filter((F.col("start") < F.col("end")) & (F.col("__cell") == F.floor(F.col("start") / cell))).drop("__cell")
 
 
 def hit(boxes: DataFrame, points: DataFrame, cell: int) -> DataFrame:
@@ -87,6 +92,9 @@ def hit(boxes: DataFrame, points: DataFrame, cell: int) -> DataFrame:
     return held.groupBy("point_id").agg(F.max(F.struct("z", "id")).alias("top")).select("point_id", "top.id", "top.z")
 
 
-def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each group."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+def first_by(df: DataFrame, keys: list[str], order: list[tuple[str, bool]]) -> DataFrame:
+    """The first row of each group by ``order`` (numeric or text columns, each with whether it falls): one aggregate with partial sums, no sort of groups. Falling columns must be numbers; nulls come first."""
+    rest = [c for c in df.columns if c not in keys]
+    rank = [(-F.col(c) if falls else F.col(c)).alias(f"__{i}") for i, (c, falls) in enumerate(order)]
+    top = df.groupBy(*keys).agg(F.min(F.struct(*rank, *rest)).alias("__top"))
+    return top.select(*keys, *(F.col(f"__top.{c}").alias(c) for c in rest))

@@ -10,22 +10,19 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Blocks that one page may hold, at most; it bounds the work for each block.
-MOST_BLOCKS = 64
-
 
 def paginate(blocks: DataFrame, capacity: int, keys: tuple[str, str, str] = ("deck_id", "ord", "height")) -> DataFrame:
-    """deck_id, ord, page (from 0) of every block; a block higher than a page has one of its own."""
+    """deck_id, ord, page (from 0) of every block; a block higher than a page has one of its own. A block counts one unit at least, so a page holds no more blocks than units. A deck's blocks meet in one task: decks are documents."""
     deck, order, height = keys
 
     def plan(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable")
-        heights = [int(h) for h in frame[height]]
+        heights = [max(1, int(h)) for h in frame[height]]
         best: list[tuple] = [(0, 0, 0)] * (len(heights) + 1)
         step = [0] * len(heights)
         for i in range(len(heights) - 1, -1, -1):
             total, choice = 0, None
-            for j in range(i + 1, min(len(heights), i + MOST_BLOCKS) + 1):
+            for j in range(i + 1, len(heights) + 1):
                 total += heights[j - 1]
                 if total > capacity and j > i + 1:
                     break

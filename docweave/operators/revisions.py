@@ -23,8 +23,10 @@ def overlay(base: DataFrame, overrides: DataFrame, removed: DataFrame, keys: lis
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that exactly one side has."""
-    return a.exceptAll(b).distinct().unionByName(b.exceptAll(a).distinct()).distinct()
+    """Distinct rows that exactly one side has: one shuffle for both, as an aggregate over their union."""
+    side = lambda df, n: df.select("*", F.lit(n).alias("__side"))
+    both = side(a, 1).unionByName(side(b, 2)).groupBy(*a.columns).agg(F.min("__side").alias("__low"), F.max("__side").alias("__high"))
+    return both.filter(F.col("__low") == F.col("__high")).drop("__low", "__high")
 
 
 def length_prefixed(*values: Column) -> Column:

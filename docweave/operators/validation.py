@@ -38,10 +38,10 @@ def chart_verdict(values: Column, categories: Column) -> Column:
 
 
 def contained(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
-    """Whether rectangle a (x, y, w, h) lies in b, edges included."""
-    ax, ay, aw, ah = a
-    bx, by, bw, bh = b
-    return (ax >= bx) & (ay >= by) & (ax + aw <= bx + bw) & (ay + ah <= by + bh)
+    """Whether rectangle a (x, y, w, h) lies in b, edges included; not where a far edge is beyond 64 bits."""
+    ax, ay, aw, ah = (c.cast("long") for c in a)
+    bx, by, bw, bh = (c.cast("long") for c in b)
+    return F.coalesce((ax >= bx) & (ay >= by) & (F.try_add(ax, aw) <= F.try_add(bx, bw)) & (F.try_add(ay, ah) <= F.try_add(by, bh)), F.lit(False))
 
 
 def required_counts(observed: DataFrame, expected: DataFrame, keys: list[str], count: str) -> DataFrame:

@@ -118,11 +118,11 @@ def distinct_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT text_key, CAST(n AS BIGINT) AS requests, CAST(width AS BIGINT) AS width FROM (SELECT substr(c_name, 1, 12) AS text_key, count(*) AS n, max(length(substr(c_name, 1, 12)) * 11) AS width FROM customer GROUP BY 1)"""
+    """SELECT text_key, CAST(n AS BIGINT) AS requests, CAST(width AS BIGINT) AS width FROM (SELECT text AS text_key, count(*) AS n, max(length(text) * 11) AS width FROM documents GROUP BY 1)"""
 )
 def measured_once(spark: SparkSession, d: str) -> DataFrame:
     """Each distinct text is measured once and the measure fans out."""
-    requests = table(spark, d, "customer").select(F.substring("c_name", 1, 12).alias("text_key"))
+    requests = table(spark, d, "documents").select(F.col("text").alias("text_key"))
     measured = requests.groupBy("text_key").agg(F.count(F.lit(1)).alias("requests"))
     return measured.withColumn("width", (F.char_length("text_key") * 11).cast("long"))
 
@@ -137,11 +137,11 @@ def binding_values(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", F.col("c_name").alias("value"), F.when(F.col("c_custkey").isNull(), "MissingValue").otherwise("ok").alias("verdict"))
 
 
-@query("SELECT p_partkey, p_brand FROM part p WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = p.p_size) AND p_partkey % 2 = 0")
+@query("SELECT p_partkey, p_brand FROM part p WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = p.p_size)")
 def active_tables(spark: SparkSession, d: str) -> DataFrame:
     """Bindings below a supplied table are left out."""
     given = table(spark, d, "supplier").select(F.col("s_suppkey").alias("p_size"))
-    return table(spark, d, "part").filter("p_partkey % 2 = 0").join(given, "p_size", "left_anti").select("p_partkey", "p_brand")
+    return table(spark, d, "part").join(given, "p_size", "left_anti").select("p_partkey", "p_brand")
 
 
 @query("SELECT k FROM (SELECT n_name AS k FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer)")
@@ -172,13 +172,14 @@ def edit_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey, l_partkey, min_type FROM (SELECT l_orderkey, l_partkey, min(p_type) AS min_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 5 GROUP BY 1, 2)"""
+    """SELECT l_orderkey, l_partkey, min(p_type) AS resource, CASE WHEN min(p_type) IS NULL THEN 'MISSING_RESOURCE' END AS code FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN (SELECT * FROM part WHERE p_size < 5) ON l_partkey = p_partkey GROUP BY 1, 2"""
 )
 def media_resources(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes to resources: filter and columns reach the scan of either side."""
-    small = table(spark, d, "part").filter("p_size < 5").select("p_partkey", "p_type")
-    out = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(small, F.col("l_partkey") == F.col("p_partkey"))
-    return out.groupBy("l_orderkey", "l_partkey").agg(F.min("p_type").alias("min_type"))
+    """Nodes to resources; a node whose resource is missing stays and says so."""
+    given = table(spark, d, "part").filter("p_size < 5").select("p_partkey", "p_type")
+    nodes = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    out = nodes.join(given, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return out.select("l_orderkey", "l_partkey", F.col("p_type").alias("resource"), F.when(F.col("p_partkey").isNull(), "MISSING_RESOURCE").alias("code"))
 
 
 @query(
@@ -186,4 +187,4 @@ def media_resources(spark: SparkSession, d: str) -> DataFrame:
 )
 def layout_choice(spark: SparkSession, d: str) -> DataFrame:
     """The region with most room for each layout."""
-    return joins.first_by(table(spark, d, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], [F.desc("p_size"), "p_partkey"])
+    return joins.first_by(table(spark, d, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], [("p_size", True), ("p_partkey", False)])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..functions.slices import text_slices as slices_of
 from ..operators.pagination import paginate
 from ..registry import query, table
@@ -34,19 +34,29 @@ def xml_tokens(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_tokens"), F.max(F.col("attrs")["r"]).alias("role"))
 
 
-@query("SELECT doc_id, text AS joined, true AS small FROM documents")
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NO_SPACE = "[^" + _SPACE[1:]
+
+
+@query(
+    f"""WITH RECURSIVE marked AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([.?!。？！])({_SPACE})', '\\1\x1d\\2', 'g'), '\n\n', '\n\x1d\n', 'g'), '\n\n', '\n\x1d\n', 'g') AS t FROM documents),
+    pieces AS (SELECT doc_id, CAST(unnest(range(1, len(l) + 1)) AS BIGINT) AS piece, unnest(l) AS rest FROM (SELECT doc_id, string_split(t, chr(29)) AS l FROM marked)),
+    cut AS (SELECT doc_id, piece, 0 AS step, CAST('' AS VARCHAR) AS slice, rest FROM pieces
+      UNION ALL SELECT doc_id, piece, step + 1, left(rest, n), substr(rest, n + 1) FROM (
+        SELECT doc_id, piece, step, rest, CASE WHEN strlen(rest) <= 512 THEN length(rest) ELSE coalesce(nullif(length(regexp_extract(left(rest, most + 1), '(?s)^(.*{_SPACE}){_NO_SPACE}', 1)), 0), most) END AS n
+        FROM (SELECT *, CASE WHEN strlen(rest) <= 512 THEN length(rest) ELSE list_max(list_filter(range(1, 513), lambda k: strlen(left(rest, k)) <= 512)) END AS most FROM cut WHERE rest <> '')))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY piece, step) AS INTEGER) AS place, slice FROM cut WHERE step > 0"""
+)
 def text_slices(spark: SparkSession, d: str) -> DataFrame:
-    """Slices put together give the text back, and none is over 512 bytes."""
-    cut = table(spark, d, "documents").select("doc_id", "text", slices_of(F.col("text")).alias("s"))
-    pieces = F.transform("s", lambda x: F.substring("text", x["start"] + 1, x["end"] - x["start"]))
-    out = cut.select("doc_id", pieces.alias("pieces"))
-    return out.select("doc_id", F.array_join("pieces", "").alias("joined"), F.forall("pieces", lambda p: F.octet_length(p) <= 512).alias("small"))
+    """Slices of whole texts: at sentences and blank lines, long stretches at line breaks."""
+    cut = table(spark, d, "documents").select("doc_id", "text", F.posexplode(slices_of(F.col("text"))).alias("place", "s"))
+    return cut.select("doc_id", (F.col("place") + 1).alias("place"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("slice"))
 
 
 @query()
 def pagination(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of a conversation as blocks on pages of 1200 units."""
-    blocks = table(spark, d, "conversations").select(F.col("conv_id").alias("deck_id"), F.col("turn").alias("ord"), F.least(F.char_length("text"), F.lit(1200)).alias("height"))
+    """Turns of a conversation as blocks on pages of 1200 units; tests compare small decks with all ways to cut them."""
+    blocks = table(spark, d, "conversations").select(F.col("conv_id").alias("deck_id"), F.col("turn").alias("ord"), F.char_length("text").alias("height"))
     return paginate(blocks, 1200)
 
 
@@ -63,23 +73,30 @@ def _deltas(events: DataFrame) -> DataFrame:
     )
 
 
-@query()
+_DELTA_SQL = """deltas AS (SELECT user_id, event_id, CAST(event_id % 7 // 3 AS BIGINT) AS expected, CAST(event_id % 7 // 3 + CASE WHEN event_id % 11 = 0 THEN 2 ELSE 1 END AS BIGINT) AS following, event_type AS key, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_DELTA_SQL}, walk AS (
+      SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS revision, CAST('' AS VARCHAR) AS status, CAST([] AS VARCHAR[]) AS keys FROM (SELECT DISTINCT user_id FROM events)
+      UNION ALL SELECT w.user_id, d.rn, d.event_id, CASE WHEN s = 'applied' THEN d.following ELSE w.revision END, s, CASE WHEN s = 'applied' THEN list_distinct(list_append(w.keys, d.key)) ELSE w.keys END
+      FROM (SELECT w.*, CASE WHEN d.expected <> w.revision OR d.following <> d.expected + 1 THEN 'InvalidRevision' WHEN d.value < 0 THEN 'InvalidValue' ELSE 'applied' END AS s FROM walk w JOIN deltas d ON d.user_id = w.user_id AND d.rn = w.rn + 1) w JOIN deltas d ON d.user_id = w.user_id AND d.rn = w.rn + 1)
+    SELECT user_id AS session_id, seq, revision, status, CAST(len(keys) AS INTEGER) AS n_keys FROM walk WHERE rn > 0"""
+)
 def live_session(spark: SparkSession, d: str) -> DataFrame:
-    """Deltas through the stateful stream until the input is used up."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="docweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """Deltas through the stateful stream until the input is used up; negative values are refused and undone."""
+    folder = graph.shared_folder(spark)
     base = f"{folder.rstrip('/')}/live-{uuid.uuid4().hex}"
     table(spark, d, "events").write.parquet(f"{base}/in")
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{base}/in")
-    sessions.run_to_end(sessions.live_sessions(_deltas(events)), f"{base}/out", f"{base}/checkpoint")
+    sessions.run_to_end(sessions.live_sessions(_deltas(events), lambda key, value: float(value) >= 0), f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(sessions.OUT).parquet(f"{base}/out")
 
 
 @query(
-    """SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS session_id, event_type AS key, count(*) AS n FROM events GROUP BY 1, 2, 3"""
+    """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS session_id, event_type AS key, value, n FROM (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS w, row_number() OVER (PARTITION BY time_bucket(INTERVAL '1 hour', ts), user_id, event_type ORDER BY ts DESC, event_id DESC) AS last, count(*) OVER (PARTITION BY time_bucket(INTERVAL '1 hour', ts), user_id, event_type) AS n FROM events) WHERE last = 1"""
 )
 def edit_coalescing(spark: SparkSession, d: str) -> DataFrame:
-    """Edits of one key within an hour become one."""
-    return sessions.coalesced(_deltas(table(spark, d, "events")), "ts", "1 hour", "1 hour").select("window_start", "session_id", "key", "n")
+    """Edits of one key within an hour become one, with the last value."""
+    out = sessions.coalesced(_deltas(table(spark, d, "events")), "ts", "1 hour", "1 hour")
+    return out.select("window_start", "session_id", "key", F.col("value").cast("double").alias("value"), "n")

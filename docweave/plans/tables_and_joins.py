@@ -131,7 +131,7 @@ def unmaterialized_anti(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH r AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e, length(text) AS len FROM conversations),
     runs AS (SELECT conv_id, turn, e - len AS r_start, e AS r_end FROM r),
-    tokens AS (SELECT conv_id, CAST(k AS BIGINT) AS token, k * 50 AS t_start, least(k * 50 + 30, total) AS t_end FROM (SELECT conv_id, max(e) AS total FROM r GROUP BY conv_id), (SELECT unnest(range(0, 40)) AS k) WHERE k * 50 < total)
+    tokens AS (SELECT conv_id, CAST(k AS BIGINT) AS token, k * 50 AS t_start, least(k * 50 + 30, total) AS t_end FROM (SELECT conv_id, total, unnest(range(0, CAST((total + 49) // 50 AS BIGINT))) AS k FROM (SELECT conv_id, max(e) AS total FROM r GROUP BY conv_id)))
     SELECT t.conv_id, t.token, turn, CAST(greatest(t_start, r_start) AS BIGINT) AS "start", CAST(least(t_end, r_end) AS BIGINT) AS "end" FROM tokens t JOIN runs USING (conv_id) WHERE t_start < r_end AND r_start < t_end"""
 )
 def span_overlap_join(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +139,7 @@ def span_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     runs = windows.running_offsets(table(spark, d, "conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("len")), ["conv_id"], ["turn"], "len")
     runs = runs.select("conv_id", "turn", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     totals = runs.groupBy("conv_id").agg(F.max("r_end").alias("total"))
-    tokens = totals.select("conv_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("token")).filter(F.col("token") * 50 < F.col("total"))
+    tokens = totals.select("conv_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / 50))).alias("token")).filter("total > 0")
     tokens = tokens.select("conv_id", "token", (F.col("token") * 50).alias("t_start"), F.least(F.col("token") * 50 + 30, F.col("total")).alias("t_end"))
     return joins.spans_meeting(tokens, runs, ["conv_id"]).select("conv_id", "token", "turn", "start", "end")
 
@@ -187,7 +187,7 @@ def positional_zip(spark: SparkSession, d: str) -> DataFrame:
 def dominance_topk(spark: SparkSession, d: str) -> DataFrame:
     """The line that dominates each part and supplier."""
     lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey", "l_orderkey", "l_extendedprice", "l_linenumber")
-    return joins.first_by(lines, ["p_partkey", "l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"]).select("p_partkey", "l_suppkey", "l_orderkey")
+    return joins.first_by(lines, ["p_partkey", "l_suppkey"], [("l_extendedprice", True), ("l_orderkey", False), ("l_linenumber", False)]).select("p_partkey", "l_suppkey", "l_orderkey")
 
 
 @query(

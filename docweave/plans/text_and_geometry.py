@@ -17,11 +17,19 @@ def escape_xml(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.escape_xml(F.col("html")).alias("escaped"))
 
 
-@query("SELECT page_id, html AS decoded, true AS same FROM (SELECT page_id, replace(replace(replace(replace(replace(html, '&apos;', ''''), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&') AS html FROM pages)")
+_REFERENCES = """SELECT page_id, CASE page_id % 7 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE html || chr(CAST(page_id % 50000 + 33 AS INTEGER)) || '<' || chr(CAST(128512 + page_id % 50 AS INTEGER)) END AS decoded,
+  CASE page_id % 7 WHEN 1 THEN 'UNSUPPORTED' WHEN 2 THEN 'INVALID_NUMERIC' WHEN 3 THEN 'UNTERMINATED' END AS code FROM pages"""
+
+
+@query(_REFERENCES)
 def decode_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Named entities decoded; decoding what was escaped gives the text back."""
-    decoded = text.decode_named_entities(F.col("html"))
-    return table(spark, d, "pages").select("page_id", decoded.alias("decoded"), (text.decode_named_entities(text.escape_xml(F.col("html"))) == F.col("html")).alias("same"))
+    """Escaped pages with decimal and hexadecimal references behind them, decoded again; some end in bad references."""
+    key = F.col("page_id")
+    decimal = F.concat(F.lit("&#"), (key % 50_000 + 33).cast("string"), F.lit(";&lt;"))
+    wide = F.concat(F.lit("&#x"), F.hex(128_512 + key % 50), F.lit(";"))
+    bad = F.when(key % 7 == 1, F.lit("&nbsp;")).when(key % 7 == 2, F.lit("&#xD800;")).when(key % 7 == 3, F.lit("&amp")).otherwise(F.lit(""))
+    found = text.decode_entities(F.concat(text.escape_xml(F.col("html")), decimal, wide, bad))
+    return table(spark, d, "pages").select("page_id", found.alias("f")).select("page_id", F.col("f.text").alias("decoded"), "f.code")
 
 
 @query("SELECT page_id, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages)")
@@ -45,20 +53,20 @@ def path_resolve(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.resolve_path(F.lit("ppt/slides/slide1.xml"), target).alias("resolved"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'a/' || p_brand || '/_rels/' || p_partkey || '.xml.rels' ELSE '_rels/' || p_partkey || '.rels' END AS rels FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'a/' || p_brand || '/_rels/' || p_partkey || '.xml.rels' ELSE '_rels/' || p_partkey || '.rels' END AS rels, CASE WHEN p_size % 2 = 0 THEN 'a/' || p_brand || '/' || p_partkey || '.xml' ELSE CAST(p_partkey AS VARCHAR) END AS owner, CAST(NULL AS VARCHAR) AS owner_of_part FROM part")
 def rels_path(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     name = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("a/"), F.col("p_brand"), F.lit("/"), key, F.lit(".xml"))).otherwise(key)
-    return table(spark, d, "part").select("p_partkey", text.rels_name(name).alias("rels"))
+    return table(spark, d, "part").select("p_partkey", text.rels_name(name).alias("rels"), text.owner_of_rels(text.rels_name(name)).alias("owner"), text.owner_of_rels(name).alias("owner_of_part"))
 
 
 @query(
-    """SELECT conv_id, turn, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS pos, unnest(l) AS token FROM (SELECT conv_id, turn, list_filter(regexp_extract_all('{{' || role || '.' || turn || '}} x {{bad id}} {{' || left(text, 3) || '}} {{turn_' || turn || '}}', '\\{\\{(.*?)\\}\\}', 1), lambda x: regexp_full_match(x, '[A-Za-z0-9_.-]{1,128}')) AS l FROM conversations)"""
+    """SELECT conv_id, turn, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS pos, unnest(l) AS token FROM (SELECT conv_id, turn, list_filter(regexp_extract_all('{{' || role || '.' || turn || '}} x {{bad id}} {{' || text || '}} {{turn_' || turn || '}}', '(?s)\\{\\{(.*?)\\}\\}', 1), lambda x: regexp_full_match(x, '[A-Za-z0-9_.-]{1,128}')) AS l FROM conversations)"""
 )
 def visible_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens between double braces whose ids are valid, left to right."""
     turn = F.col("turn").cast("string")
-    line = F.concat(F.lit("{{"), "role", F.lit("."), turn, F.lit("}} x {{bad id}} {{"), F.substring("text", 1, 3), F.lit("}} {{turn_"), turn, F.lit("}}"))
+    line = F.concat(F.lit("{{"), "role", F.lit("."), turn, F.lit("}} x {{bad id}} {{"), "text", F.lit("}} {{turn_"), turn, F.lit("}}"))
     out = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(text.visible_tokens(line)).alias("pos", "token"))
     return out.select("conv_id", "turn", (F.col("pos") + 1).alias("pos"), "token")
 
@@ -70,32 +78,70 @@ def line_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.line_count(F.col("text"), 80).cast("long").alias("lines"))
 
 
-@query(
-    "SELECT c_custkey, CAST(floor((250 * (length(t) - length(regexp_replace(t, '[ ]', '', 'g'))) + 280 * (length(t) - length(regexp_replace(t, '[iIl1|.,:;!`]', '', 'g'))) + 360 * (length(t) - length(regexp_replace(t, '[frt()/-]', '', 'g'))) + 850 * (length(t) - length(regexp_replace(t, '[mwMW@%&]', '', 'g')))"
-    " + 650 * (length(t) - length(regexp_replace(t, '[A-HJ-LN-VX-Z]', '', 'g'))) + 520 * (length(t) - length(regexp_replace(t, '[a-eghjknopqsuvxyz]', '', 'g'))) + 560 * (length(t) - length(regexp_replace(t, '[02-9]', '', 'g'))) + 400 * (length(t) - length(regexp_replace(t, '[#]', '', 'g')))) * 2000 / 1000) AS BIGINT) AS advance"
-    " FROM (SELECT c_custkey, c_name || ' ' || c_mktsegment AS t FROM customer)"
+# the classes as the model states them, each without what an earlier one holds
+_ADVANCE = " + ".join(
+    f"{width} * (length(t) - length(regexp_replace(t, '{chars}', '', 'g')))"
+    for chars, width in (
+        (r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]", 250),
+        ("[ijlI|!.,:;''`]", 280),
+        (r"[frt()\[\]{}/-]", 360),
+        ("[mwMW@%&]", 850),
+        ("[A-HJ-LN-VX-Z]", 650),
+        ("[abcdeghknopqsuvxyz]", 520),
+        ("[0-9]", 560),
+        (r"[\x22#$*+<=>?\x5c^_~]", 400),
+        (r"[^\x00-\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]", 1000),
+    )
 )
+
+
+@query(f"SELECT doc_id, CAST(({_ADVANCE}) * 2000 // 1000 AS BIGINT) AS advance FROM (SELECT doc_id, text AS t FROM documents)")
 def text_advance(spark: SparkSession, d: str) -> DataFrame:
-    """Advance of a text by classes of characters."""
-    line = F.concat("c_name", F.lit(" "), "c_mktsegment")
-    return table(spark, d, "customer").select("c_custkey", text.class_width(line, 2000).alias("advance"))
+    """Advance of whole texts by classes of characters."""
+    return table(spark, d, "documents").select("doc_id", text.class_width(F.col("text"), 2000).alias("advance"))
 
 
-@query(
-    """SELECT n, CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INTEGER)) ELSE chr(CAST(64 + (n - 1) // 26 AS INTEGER)) || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) END AS col,
-    CAST(n AS VARCHAR) || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal FROM (SELECT p_partkey AS n FROM part WHERE p_partkey BETWEEN 1 AND 702)"""
-)
+_LETTER = "chr(CAST(65 + (n - 1 - {0}) // {1} % 26 AS INTEGER))"
+_COLUMN = f"""CASE WHEN n > 18278 THEN {_LETTER.format(18278, 17576)} ELSE '' END || CASE WHEN n > 702 THEN {_LETTER.format(702, 676)} ELSE '' END || CASE WHEN n > 26 THEN {_LETTER.format(26, 26)} ELSE '' END || CASE WHEN n > 0 THEN {_LETTER.format(0, 1)} ELSE '' END"""
+_ORDINAL = "CAST(n AS VARCHAR) || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END"
+
+
+@query(f"SELECT n, {_COLUMN} AS col, {_ORDINAL} AS ordinal FROM (SELECT p_partkey AS n FROM part)")
 def number_formats(spark: SparkSession, d: str) -> DataFrame:
     """Spreadsheet columns and ordinals."""
     n = F.col("p_partkey")
-    return table(spark, d, "part").filter("p_partkey between 1 and 702").select(n.alias("n"), text.spreadsheet_column(n).alias("col"), text.ordinal(n).alias("ordinal"))
+    return table(spark, d, "part").select(n.alias("n"), text.spreadsheet_column(n).alias("col"), text.ordinal(n).alias("ordinal"))
 
 
-@query()
+def _tens(one: str, five: str, ten: str, unit: int) -> str:
+    written = [one * k for k in range(4)] + [one + five] + [five + one * k for k in range(4)] + [one + ten]
+    return "[" + ", ".join(f"'{w}'" for w in written) + f"][CAST(r // {unit} % 10 + 1 AS INTEGER)]"
+
+
+_ROMAN = "['', 'M', 'MM', 'MMM'][CAST(r // 1000 + 1 AS INTEGER)] || " + " || ".join(_tens(*x) for x in (("C", "D", "M", 100), ("X", "L", "C", 10), ("I", "V", "X", 1)))
+
+
+@query(f"SELECT n, {_ROMAN} AS roman, '(' || lower({_COLUMN}) || ')' AS alpha FROM (SELECT p_partkey AS n, least(p_partkey, 3999) AS r FROM part)")
 def roman_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Roman numerals and affixes; rows only, tests hold the values."""
+    """Roman numerals, and letters in parentheses."""
     n = F.col("p_partkey")
-    return table(spark, d, "part").select(n.alias("n"), text.roman(n).alias("roman"), text.with_affix(text.alphabetic((n - 1) % 702 + 1), "ParenBoth").alias("alpha"))
+    return table(spark, d, "part").select(n.alias("n"), text.roman(n).alias("roman"), text.with_affix(text.alphabetic(n), "ParenBoth").alias("alpha"))
+
+
+_SCHEMES = ("alphaLcParenR", "alphaUcPeriod", "romanLcParenBoth", "romanUcPeriod", "ordinal", "circleNumDbPlain", "arabicPeriod", "arabicPlain")
+
+
+@query(
+    f"""SELECT p_partkey, scheme, CASE WHEN scheme LIKE '%ParenBoth' THEN '(' || body || ')' WHEN scheme LIKE '%ParenR' THEN body || ')' WHEN scheme LIKE '%Period' THEN body || '.' ELSE body END AS label
+    FROM (SELECT p_partkey, scheme, CASE WHEN scheme LIKE 'alphaLc%' THEN lower({_COLUMN}) WHEN scheme LIKE 'alphaUc%' THEN {_COLUMN} WHEN scheme LIKE 'romanLc%' THEN lower({_ROMAN}) WHEN scheme LIKE 'romanUc%' THEN {_ROMAN}
+      WHEN scheme LIKE 'ordinal%' THEN {_ORDINAL} WHEN scheme LIKE 'circleNum%' AND n <= 20 THEN chr(CAST(9311 + n AS INTEGER)) ELSE CAST(n AS VARCHAR) END AS body
+      FROM (SELECT p_partkey, p_size AS n, p_size AS r, {list(_SCHEMES)}[CAST(p_partkey % 8 + 1 AS INTEGER)] AS scheme FROM part))"""
+)
+def auto_number_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraph numbers in eight schemes."""
+    scheme = F.element_at(F.array(*map(F.lit, _SCHEMES)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    out = table(spark, d, "part").select("p_partkey", "p_size", scheme.alias("scheme"))
+    return out.select("p_partkey", "scheme", text.auto_number(F.col("p_size"), F.col("scheme")).alias("label"))
 
 
 @query("SELECT doc_id, regexp_replace(text, '(^|\\n)([^\\n])', '\\1• \\2', 'g') AS marked FROM documents")
@@ -124,15 +170,15 @@ def safe_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", name.alias("name"), text.safe_name(name).alias("safe"))
 
 
-_SIZES = "(SELECT p_partkey, CAST(p_size * 37 + 1 AS BIGINT) AS sw, CAST(p_partkey % 500 + 1 AS BIGINT) AS sh, CAST(1600 AS BIGINT) AS w, CAST(900 AS BIGINT) AS h FROM part)"
+_SIZES = "(SELECT p_partkey, CAST(p_size * 37 + 1 AS HUGEINT) AS sw, CAST(p_partkey % 500 + 1 AS HUGEINT) AS sh, CAST(12192000 AS HUGEINT) AS w, CAST(6858000 AS HUGEINT) AS h FROM part)"
 
 
 def _pictures(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", (F.col("p_size") * 37 + 1).cast("long").alias("sw"), (F.col("p_partkey") % 500 + 1).alias("sh"), F.lit(1600).cast("long").alias("w"), F.lit(900).cast("long").alias("h"))
+    return table(spark, d, "part").select("p_partkey", (F.col("p_size") * 37 + 1).cast("long").alias("sw"), (F.col("p_partkey") % 500 + 1).alias("sh"), F.lit(12_192_000).alias("w"), F.lit(6_858_000).alias("h"))
 
 
 @query(
-    f"""SELECT p_partkey, (1600 - fw) // 2 AS x, (900 - fh) // 2 AS y, fw AS width, fh AS height FROM (SELECT p_partkey, CASE WHEN sw * h > w * sh THEN w ELSE greatest(1, h * sw // sh) END AS fw, CASE WHEN sw * h > w * sh THEN greatest(1, w * sh // sw) ELSE h END AS fh FROM {_SIZES})"""
+    f"""SELECT p_partkey, CAST((12192000 - fw) // 2 AS BIGINT) AS x, CAST((6858000 - fh) // 2 AS BIGINT) AS y, CAST(fw AS BIGINT) AS width, CAST(fh AS BIGINT) AS height FROM (SELECT p_partkey, CASE WHEN sw * h > w * sh THEN w ELSE greatest(1, h * sw // sh) END AS fw, CASE WHEN sw * h > w * sh THEN greatest(1, w * sh // sw) ELSE h END AS fh FROM {_SIZES})"""
 )
 def media_contain(spark: SparkSession, d: str) -> DataFrame:
     frame = geometry.contain(*map(F.col, ("sw", "sh", "w", "h")))
@@ -140,7 +186,7 @@ def media_contain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT p_partkey, CASE WHEN a > b THEN least(49999, ((a - b) * 100000 + a) // (2 * a)) ELSE 0 END AS horizontal, CASE WHEN b > a THEN least(49999, ((b - a) * 100000 + b) // (2 * b)) ELSE 0 END AS vertical FROM (SELECT p_partkey, sw * h AS a, sh * w AS b FROM {_SIZES})"""
+    f"""SELECT p_partkey, CAST(CASE WHEN a > b THEN least(49999, ((a - b) * 100000 + a) // (2 * a)) ELSE 0 END AS BIGINT) AS horizontal, CAST(CASE WHEN b > a THEN least(49999, ((b - a) * 100000 + b) // (2 * b)) ELSE 0 END AS BIGINT) AS vertical FROM (SELECT p_partkey, sw * h AS a, sh * w AS b FROM {_SIZES})"""
 )
 def media_cover(spark: SparkSession, d: str) -> DataFrame:
     crop = geometry.cover_crop(*map(F.col, ("sw", "sh", "w", "h")))

@@ -19,23 +19,35 @@ OUT = "session_id long, seq long, revision long, status string, n_keys int"
 STATE = "revision long, data string"
 
 
-def advance(revision: int, data: dict, delta: tuple) -> tuple[int, dict, str]:
-    """The state after one delta (expected, next, key, value) and what became of it. Keys in the delta replace; others stay."""
+def advance(revision: int, data: dict, delta: tuple, valid=None) -> tuple[int, dict, str]:
+    """The state after one delta (expected, next, key, value) and what became of it. Keys in the delta replace; others stay.
+
+    ``valid`` (key, value) judges the merged state; where it refuses, the merge is
+    undone: the value from before comes back, or the key goes.
+    """
     expected, following, key, value = delta
     if expected != revision or following != expected + 1:
         return revision, data, "InvalidRevision"
-    return following, data | {key: value}, "applied"
+    had, previous = key in data, data.get(key)
+    data[key] = value
+    if valid and not valid(key, value):
+        if had:
+            data[key] = previous
+        else:
+            del data[key]
+        return revision, data, "InvalidValue"
+    return following, data, "applied"
 
 
-def live_sessions(deltas: DataFrame) -> DataFrame:
-    """For each delta (session_id, seq, expected_revision, next_revision, key, value) its outcome and the session's revision and keys after it. ``deltas`` is a stream."""
+def live_sessions(deltas: DataFrame, valid=None) -> DataFrame:
+    """For each delta (session_id, seq, expected_revision, next_revision, key, value) its outcome and the session's revision and keys after it. ``deltas`` is a stream; ``valid`` (key, value) may refuse a delta. Deltas of one micro-batch are taken in the order of ``seq``; a session's keys are its state, so they must fit a task."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         revision, text = state.get if state.exists else (0, "{}")
         data = json.loads(text)
         rows = []
         for row in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-            revision, data, status = advance(revision, data, (row.expected_revision, row.next_revision, row.key, row.value))
+            revision, data, status = advance(revision, data, (row.expected_revision, row.next_revision, row.key, row.value), valid)
             rows.append((key[0], row.seq, revision, status, len(data)))
         state.update((revision, json.dumps(data, sort_keys=True)))
         yield pd.DataFrame(rows, columns=["session_id", "seq", "revision", "status", "n_keys"])

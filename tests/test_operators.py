@@ -1,13 +1,17 @@
 """Operators on small tables whose results are known."""
 
+import colorsys
 import io
+import itertools
+import math
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.functions import geometry, slices, text
-from docweave.operators import graph, joins, pagination, revisions, tables, windows
+from docweave.functions import geometry, shapes, slices, text
+from docweave.operators import decks, graph, joins, pagination, revisions, tables, windows
 from docweave.sources import packages
 from docweave.streaming import sessions
 
@@ -122,3 +126,176 @@ def test_contain_and_cover(spark):
 def test_link_kinds(spark):
     df = spark.createDataFrame([(u,) for u in ("http://x", "mailto:a", "tel:1", "#a", "#", " http://x", "javascript:1")], "u string")
     assert [r[0] for r in df.select(text.safe_link(F.col("u"))).collect()] == ["Web", "Email", "Telephone", "Anchor", None, None, None]
+
+
+def test_slices_stand_before_white_space():
+    cut = lambda t: [t[p["start"] : p["end"]] for p in slices.slices(t)]
+    assert cut("첫 문장. Second sentence!\n\nLast") == ["첫 문장.", " Second sentence!", "\n", "\nLast"]
+    assert cut("a.b c?　d\n\n\ne. ") == ["a.b c?", "　d\n", "\n", "\ne.", " "]
+    assert [len(s) for s in cut("x" * 1200)] == [512, 512, 176] and [len(s.encode()) for s in cut("é" * 300)] == [512, 88]
+    long = "word " * 150
+    assert cut(long)[0] == "word " * 102 and "".join(cut(long)) == long
+
+
+def all_pages(heights, capacity):
+    """Every way to cut a deck: pages, largest demand, squares of unused room."""
+    best = None
+    for cuts in itertools.product([False, True], repeat=max(0, len(heights) - 1)):
+        pages, page = [[heights[0]]], 0
+        for h, cut in zip(heights[1:], cuts):
+            if cut:
+                pages.append([])
+            pages[-1].append(h)
+        if any(sum(p) > capacity and len(p) > 1 for p in pages):
+            continue
+        cost = (len(pages), max(map(sum, pages)), sum(max(0, capacity - sum(p)) ** 2 for p in pages))
+        best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_pages_of_small_decks(spark):
+    rng = random.Random(4)
+    decks = {i: [rng.choice([0, 1, 3, 4, 5, 9, 12, 30]) for _ in range(rng.randrange(1, 10))] for i in range(60)}
+    rows = [(i, k, h) for i, hs in decks.items() for k, h in enumerate(hs)]
+    found = {}
+    for r in pagination.paginate(spark.createDataFrame(rows, "deck_id int, ord int, height int"), 12).orderBy("deck_id", "ord").collect():
+        found.setdefault(r.deck_id, {}).setdefault(r.page, []).append(max(1, decks[r.deck_id][r.ord]))
+    for i, hs in decks.items():
+        pages = list(found[i].values())
+        cost = (len(pages), max(map(sum, pages)), sum(max(0, 12 - sum(p)) ** 2 for p in pages))
+        assert sum(pages, []) == [max(1, h) for h in hs] and cost == all_pages([max(1, h) for h in hs], 12)
+
+
+def test_many_small_blocks_share_a_page(spark):
+    blocks = spark.createDataFrame([(1, i, 1) for i in range(300)], "deck_id int, ord int, height int")
+    assert pagination.paginate(blocks, 1000).agg(F.max("page")).first()[0] == 0
+
+
+def test_refused_deltas_are_undone():
+    valid = lambda key, value: value != "bad"
+    state = (0, {})
+    for delta, status, data in (
+        ((0, 1, "a", "x"), "applied", {"a": "x"}),
+        ((1, 2, "a", "bad"), "InvalidValue", {"a": "x"}),
+        ((1, 2, "b", "bad"), "InvalidValue", {"a": "x"}),
+        ((0, 1, "a", "y"), "InvalidRevision", {"a": "x"}),
+        ((1, 3, "a", "y"), "InvalidRevision", {"a": "x"}),
+        ((1, 2, "a", "y"), "applied", {"a": "y"}),
+    ):
+        *state, found = sessions.advance(*state, delta, valid)
+        assert found == status and state[1] == data
+    assert state[0] == 2
+
+
+def test_geometry_at_slide_sizes(spark):
+    rows = [(9007199254740993, 1, 12192000, 6858000), (1920, 1080, 12192000, 6858000), (4000, 3000, 12192000, 6858000), (1, 5, 1, 1)]
+    c = [F.col(x) for x in ("sw", "sh", "w", "h")]
+    for kind in ("long", "int"):
+        df = spark.createDataFrame(rows[kind == "int" :], ", ".join(f"{x} {kind}" for x in ("sw", "sh", "w", "h")))
+        for r in df.select("*", geometry.whole(c[0], c[1]).alias("q"), geometry.contain(*c).alias("f"), geometry.cover_crop(*c).alias("k")).collect():
+            a, b = r.sw * r.h, r.sh * r.w
+            w, h = (r.w, max(1, r.w * r.sh // r.sw)) if a > b else (max(1, r.h * r.sw // r.sh), r.h)
+            side = lambda lost, total: min(49_999, (lost * 100_000 + total) // (2 * total))
+            assert r.q == r.sw // r.sh and tuple(r.f) == ((r.w - w) // 2, (r.h - h) // 2, w, h)
+            assert tuple(r.k) == (side(a - b, a) if a > b else 0, side(b - a, b) if b > a else 0)
+
+
+@pytest.mark.parametrize(
+    "raw, text_, code",
+    [
+        ("a&amp;b&#65;&#x1F642;c", "a&bA🙂c", None),
+        ("&amp;lt;", "&lt;", None),
+        ("", "", None),
+        ("x", "x", None),
+        ("&#+65;", "A", None),
+        ("&", None, "UNTERMINATED"),
+        ("&amp;&lt", None, "UNTERMINATED"),
+        ("&a&amp;", None, "UNSUPPORTED"),
+        ("&#6&amp;", None, "INVALID_NUMERIC"),
+        ("&nbsp;&#xD800;", None, "UNSUPPORTED"),
+        ("&#xD800;&nbsp;", None, "INVALID_NUMERIC"),
+        ("&#;", None, "INVALID_NUMERIC"),
+        ("&#1114112;", None, "INVALID_NUMERIC"),
+        ("&#99999999999999999999;", None, "INVALID_NUMERIC"),
+    ],
+)
+def test_entities(spark, raw, text_, code):
+    assert tuple(spark.range(1).select(text.decode_entities(F.lit(raw)).alias("d")).first().d) == (text_, code)
+
+
+def test_colors(spark):
+    def hsl(kind, value, rgb):
+        h, l, s = colorsys.rgb_to_hls(*(v / 255 for v in rgb))
+        part = value / 100_000
+        h, s, l = {"lumMod": (h, s, l * part), "lumOff": (h, s, l + part), "satMod": (h, s * part, l), "satOff": (h, s + part, l), "hueMod": (h * part, s, l), "hueOff": (h + value / 60_000 / 360, s, l)}[kind]
+        clamp = lambda v: min(max(v, 0), 1)
+        return tuple(math.floor(v * 255 + 0.5) for v in colorsys.hls_to_rgb(h % 1, clamp(l), clamp(s)))
+
+    rng = random.Random(1)
+    cases = [(kind, value, tuple(rng.choice([0, 17, 100, 255]) for _ in range(3))) for kind in ("lumMod", "lumOff", "satMod", "satOff", "hueMod", "hueOff") for value in (0, 40_000, 75_000, 120_000, -20_000)]
+    rows = [(i, *rgb, kind, value) for i, (kind, value, rgb) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, r int, g int, b int, kind string, value int")
+    color = F.struct(F.col("r").alias("red"), F.col("g").alias("green"), F.col("b").alias("blue"), F.lit(9).alias("alpha"))
+    for r in df.select("i", shapes.transformed_color(color, F.array(F.struct("kind", "value"))).alias("c")).collect():
+        want = hsl(*cases[r.i])
+        assert r.c.alpha == 9 and all(abs(x - y) <= 1 for x, y in zip(r.c[:3], want)), (cases[r.i], r.c, want)
+
+
+def test_group_matrix(spark):
+    child = tuple(F.lit(v) for v in (10.0, 20.0, 50.0, 100.0))
+    frame = tuple(F.lit(v) for v in (100.0, 200.0, 100.0, 100.0))
+    at = lambda fx, fy, turn: spark.range(1).select(shapes.moved_point(shapes.group_matrix(*frame, child, F.lit(fx), F.lit(fy), F.lit(turn)), F.lit(10.0), F.lit(20.0)).alias("p")).first().p
+    close = lambda p, q: all(abs(a - b) < 1e-9 for a, b in zip(p, q))
+    assert close(at(False, False, 0), (100, 200)) and close(at(True, False, 0), (200, 200)) and close(at(True, True, 0), (200, 300))
+    assert close(at(False, False, 90 * 60_000), (200, 200)) and close(at(False, False, 180 * 60_000), (200, 300))
+
+
+def test_pictures_in_running_text(spark):
+    child = "array<struct<role:string,content:string>>"
+    rows = [("Prose", "Prose", "Children", [("Prose", "Text"), ("Prose", "Svg")], True), ("Prose", "Prose", "Children", [("Prose", "Svg")], False), ("Prose", "Section", "Children", [("Prose", "Text"), ("Prose", "Svg")], False), ("Prose", None, None, None, False), ("Prose", "Prose", "Children", [("Prose", "Text"), ("Prose", "Svg"), ("Quote", "Text")], False)]
+    df = spark.createDataFrame(rows, f"role string, parent string, content string, siblings {child}, want boolean")
+    got = df.select("want", shapes.inline_picture_allowed(F.col("role"), F.col("parent"), F.col("content"), F.col("siblings")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_empty_tables_have_a_page(spark):
+    heads = spark.createDataFrame([(1, "a"), (2, "b")], "t int, head string")
+    rows = spark.createDataFrame([(1, i, f"c{i}") for i in range(3)], "t int, i int, c string")
+    got = sorted((r.t, r.head, r.page, r.pages, list(r.cells)) for r in decks.table_pages(heads, rows, ["t"], ["i"], 2, F.col("c")).collect())
+    assert got == [(1, "a", 0, 2, ["c0", "c1"]), (1, "a", 1, 2, ["c2"]), (2, "b", 0, 1, [])]
+    with pytest.raises(ValueError):
+        decks.table_pages(heads, rows, ["t"], ["i"], 0, F.col("c"))
+
+
+def test_rectangles_meet_once(spark):
+    rng = random.Random(3)
+    boxes = [(i % 2, i, rng.randrange(-90, 90), rng.randrange(-90, 90), rng.randrange(0, 70), rng.randrange(0, 70)) for i in range(80)]
+    df = spark.createDataFrame(boxes, "g int, id int, x int, y int, w int, h int")
+    got = sorted((r.g, r.id_a, r.id_b) for r in joins.overlapping_rectangles(df, ["g"], ("x", "y", "w", "h"), "id", cell=16).collect())
+    hit = lambda a, b: a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5]
+    want = [(a[0], a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and min(a[4], a[5], b[4], b[5]) > 0 and hit(a, b)]
+    assert got == sorted(want)
+
+
+def test_signature_of_bytes(spark):
+    def fnv(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return f"{h:016x}"
+
+    texts = ["", "a", "é漢", "x" * 300]
+    got = {r.t: r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", shapes.structural_signature(F.col("t")).alias("s")).collect()}
+    assert got == {t: fnv(t.encode()) for t in texts}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        graph.shared_folder(Session)
