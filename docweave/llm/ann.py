@@ -20,8 +20,9 @@ The test vectors are mostly uniform on the sphere, where no index can prune much
 
 Defined results: vectors that are null, zero, or hold null or non-finite components
 take no part, nor do those of another length than most have; equal scores go to the
-smaller id; rows that repeat an id count once each as candidates; a null id takes no
-part. An empty table gives no rows.
+smaller id; a null id takes no part. Rows that repeat id and vector are one row. Rows of
+one id and different vectors are queries of their own, told apart by ``query_tag``, and
+each other's candidates. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -143,16 +144,16 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREES, visited: float = VISITED, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score of the ``k`` nearest rows found for each row that ``is_query`` (a Column over vec_id) holds for."""
+    """query_id, rank, vec_id and score of the ``k`` nearest rows found for each row that ``is_query`` (a Column over vec_id) holds for, and ``query_tag``, a hash of the query's vector."""
     import numpy as np
 
     spark = vectors.sparkSession
-    rows = materialize(usable(vectors, id_column, vector_column), "vectors")
+    rows = materialize(usable(vectors, id_column, vector_column).dropDuplicates(["vec_id", "v"]), "vectors")
     first = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= k + 1)  # Spark cuts to k + 1 before the shuffle, too
     classes = materialize(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
     n, norm = classes.agg(F.count("*"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c * c)))).first()
-    out = "query_id long, rank int, vec_id long, score double"
+    out = "query_id long, rank int, vec_id long, score double, query_tag long"
     if not n:
         return spark.createDataFrame([], out)
     chosen = classes.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()  # at most SAMPLE vectors
@@ -189,8 +190,8 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREE
     query_blocks = buckets_for(chosen.count(), BLOCK_ROWS)
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     asked = chosen.repartition(shuffle_width(spark)).mapInArrow(searched, "vec_id long, v array<double>, mask binary")
-    asked = asked.select(F.col("vec_id").alias("query_id"), "v", "mask", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("leaves"))
-    nothing = F.lit(None).cast("long").alias("query_id"), "v", F.lit(None).cast("binary").alias("mask"), "ids", "leaves"
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("query_tag"), "v", "mask", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("leaves"))
+    nothing = F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("query_tag"), "v", F.lit(None).cast("binary").alias("mask"), "ids", "leaves"
     dealt = index.select(*nothing, F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("block"))
     dealt = dealt.withColumn("query_block", each(query_blocks))
     asked = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
@@ -201,18 +202,18 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREE
 
         is_query = np.asarray(table.column("query_id").is_valid())
         q, x = table.filter(pa.array(is_query)), table.filter(pa.array(~is_query))
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        made = lambda columns: pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "query_tag", "vec_id", "score"])
         if not q.num_rows or not x.num_rows:
-            return empty
+            return made([[]] * 4)
         vectors = np.array(x.column("v").to_pylist(), dtype=np.float64)
         leaves, ids = np.array(x.column("leaves").to_pylist()), x.column("ids").to_pylist()
         least = np.array([i[0] for i in ids])
-        found: tuple[list, list, list] = ([], [], [])
+        found: tuple[list, ...] = ([], [], [], [])
         for at in range(0, q.num_rows, 128):
             part = q.slice(at, 128)
             asked = np.array(part.column("v").to_pylist(), dtype=np.float64)
             masks = np.unpackbits(np.array([np.frombuffer(m, dtype=np.uint8) for m in part.column("mask").to_pylist()]), axis=1).astype(bool)
-            for query_id, query, mask in zip(part.column("query_id").to_pylist(), asked, masks):
+            for query_id, tag, query, mask in zip(part.column("query_id").to_pylist(), part.column("query_tag").to_pylist(), asked, masks):
                 candidates = np.flatnonzero(mask[leaves].any(axis=1))
                 score = vectors[candidates] @ query
                 if len(score) > k + 1:
@@ -223,16 +224,17 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREE
                 for i in order.tolist():
                     if len(best) >= k and -score[i] > best[-1][0]:
                         break
-                    members = [m for m in ids[candidates[i]] if m != query_id]
+                    own = np.array_equal(vectors[candidates[i]], query)
+                    members = [m for m in ids[candidates[i]] if not own or m != query_id]
                     best = sorted(best + [(-score[i], m) for m in members[:k]])[:k]
                 for s, m in best:
-                    for column, value in zip(found, (query_id, m, -s)):
+                    for column, value in zip(found, (query_id, tag, m, -s)):
                         column.append(value)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+        return made(found)
 
-    best = dealt.groupBy("query_block", "block").applyInArrow(ranked, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = dealt.groupBy("query_block", "block").applyInArrow(ranked, "query_id long, query_tag long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query_tag").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_tag")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
