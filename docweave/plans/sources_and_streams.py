@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..functions.slices import text_slices as slices_of
+from ..functions.text import escape_xml
 from ..operators.pagination import paginate
 from ..registry import query, table
 from ..sources import packages
@@ -25,13 +26,15 @@ def package_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return scanned.select("package_id", "name", "usize", "intact")
 
 
-@query("SELECT conv_id, turn, CAST(3 AS BIGINT) AS n_tokens, role FROM conversations WHERE length(text) > 0")
+@query("SELECT conv_id, turn, role, text AS content, CAST(1 AS BIGINT) AS elements FROM conversations")
 def xml_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """A turn as an XML element: start, text and end."""
-    turns = table(spark, d, "conversations").filter("length(text) > 0")
-    xml = F.concat(F.lit("<t r='"), "role", F.lit("'>"), F.regexp_replace("text", "[^A-Za-z0-9 ]", "x"), F.lit("</t>"))
+    """A turn as an XML element, its whole text escaped: the element, its attribute and the text come back from the tokens."""
+    turns = table(spark, d, "conversations")
+    xml = F.concat(F.lit("<t r='"), "role", F.lit("'>"), escape_xml(F.col("text")), F.lit("</t>"))
     rows = packages.token_rows(turns, xml, ["conv_id", "turn"])
-    return rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_tokens"), F.max(F.col("attrs")["r"]).alias("role"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("kind") == "Text", F.struct("seq", "name"))))
+    content = F.array_join(F.transform(parts, lambda t: t["name"]), "")
+    return rows.groupBy("conv_id", "turn").agg(F.max(F.col("attrs")["r"]).alias("role"), content.alias("content"), F.count_if(F.col("kind") == "Start").alias("elements"))
 
 
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
