@@ -66,3 +66,29 @@ def within_budget(df: DataFrame, keys: list[str], recent_first: list, weight: st
     """The most recent rows whose weights together stay within the budget; rows heavier than the budget are refused."""
     w = Window.partitionBy(*keys).orderBy(*recent_first).rowsBetween(Window.unboundedPreceding, 0)
     return df.filter(F.col(weight) <= budget).withColumn("held", F.sum(weight).over(w)).filter(F.col("held") <= budget)
+
+
+#: Slices of a group's range of values in which ranks are looked for.
+SLICES = 1_000
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, ``n`` and for each name the least value that so large a share of the group's values do not exceed (null values do not count).
+
+    Values are counted in slices of the group's range first; only the slice that a rank
+    falls into is put in order, so no task sorts or holds a whole group.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.count(F.lit(1)).alias("n"))
+    place = (F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")) * SLICES
+    sliced = rows.join(ends, keys).withColumn("__slice", F.when(F.col("__high") > F.col("__low"), F.least(F.floor(place), F.lit(SLICES - 1))).otherwise(0))
+    counts = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__in"), F.first("n").alias("n"))
+    w = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)  # one row for each slice
+    upto = counts.withColumn("__upto", F.sum("__in").over(w))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("n") * share)).alias("rank")) for name, share in shares.items())))
+    met = upto.withColumn("__asked", asked).filter((F.col("__asked.rank") <= F.col("__upto")) & (F.col("__asked.rank") > F.col("__upto") - F.col("__in")))
+    met = met.select(*keys, "__slice", F.col("__asked.name").alias("__name"), (F.col("__asked.rank") - (F.col("__upto") - F.col("__in"))).alias("__rank"))
+    values = sliced.select(*keys, "__slice", value).join(met, [*keys, "__slice"]).groupBy(*keys, "__name", "__rank", value).agg(F.count(F.lit(1)).alias("__in"))
+    inside = Window.partitionBy(*keys, "__name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = values.withColumn("__upto", F.sum("__in").over(inside)).filter(F.col("__upto") >= F.col("__rank")).groupBy(*keys).agg(*(F.min(F.when(F.col("__name") == name, F.col(value))).alias(name) for name in shares))
+    return ends.select(*keys, "n").join(found, keys)

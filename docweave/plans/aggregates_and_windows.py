@@ -146,8 +146,7 @@ def chart_kind(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY 1")
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank order statistics."""
-    out = table(spark, d, "events")
-    return out.groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.count(F.lit(1)).alias("n"))
+    return windows.order_statistics(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query(

@@ -299,3 +299,16 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(ValueError):
         graph.shared_folder(Session)
+
+
+def test_order_statistics(spark):
+    rng = random.Random(11)
+    groups = {"one": [4.0], "same": [7.0] * 9, "few": [1.0, 2.0], "many": [rng.random() ** 9 for _ in range(400)], "ties": [float(rng.randrange(5)) for _ in range(100)], "odd": [-5.0, None, 3.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None)]
+    shares = {"least": 0.0, "p50": 0.5, "p95": 0.95, "most": 1.0}
+    got = {r.g: tuple(r)[1:] for r in windows.order_statistics(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", shares).select("g", "n", *shares).collect()}
+    want = {}
+    for g, vs in groups.items():
+        own = sorted(v for v in vs if v is not None)
+        want[g] = (len(own), *(own[max(1, math.ceil(len(own) * p)) - 1] for p in shares.values()))
+    assert got == want
