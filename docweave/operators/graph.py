@@ -33,8 +33,8 @@ def _stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """node and depth (fewest edges) of all nodes reachable from ``roots`` (node) over ``edges`` (source, target). Cycles are safe: a node is visited once."""
+def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000, most_nodes: int | None = None) -> DataFrame:
+    """node and depth (fewest edges) of all nodes reachable from ``roots`` (node) over ``edges`` (source, target). Cycles are safe: a node is visited once. More nodes than ``most_nodes`` are an error."""
     edges = _stored(edges.select("source", "target").distinct())
     frontier = _stored(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
@@ -43,6 +43,8 @@ def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> Da
         frontier = _stored(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
+        if most_nodes is not None and seen.count() + frontier.count() > most_nodes:
+            raise RuntimeError(f"traversal limit of {most_nodes} nodes")
         seen = seen.unionByName(frontier)
         if depth % MERGED == 0:  # so that the plan does not grow with the rounds
             seen = _stored(seen)

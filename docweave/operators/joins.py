@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,9 @@ def first_by(df: DataFrame, keys: list[str], order: list[tuple[str, bool]]) -> D
     rank = [(-F.col(c) if falls else F.col(c)).alias(f"__{i}") for i, (c, falls) in enumerate(order)]
     top = df.groupBy(*keys).agg(F.min(F.struct(*rank, *rest)).alias("__top"))
     return top.select(*keys, *(F.col(f"__top.{c}").alias(c) for c in rest))
+
+
+def pruned(candidates: DataFrame, start: list[str], end: list[str], order: list[tuple[str, bool]], most: int = 64) -> DataFrame:
+    """The best candidate for each start and end, and of those at most ``most`` for each start, the nearest ends first."""
+    best = first_by(candidates, [*start, *end], order)
+    return best.withColumn("__n", F.row_number().over(Window.partitionBy(*start).orderBy(*end))).filter(F.col("__n") <= most).drop("__n")

@@ -64,3 +64,14 @@ def quarantine(df: DataFrame, verdict: Column, good: str = "ok") -> tuple[DataFr
     """Rows that pass, and rows that do not with their verdict as ``code``."""
     marked = df.withColumn("code", verdict)
     return marked.filter(F.col("code") == good).drop("code"), marked.filter(F.col("code") != good)
+
+
+def active_problems(parts: DataFrame, keys: list[str], name: str, content_type: str) -> DataFrame:
+    """keys, the names of a package's active parts in order, and the first of them. A package's active parts meet in one row."""
+    found = parts.filter(active_content(F.col(name), F.col(content_type)))
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_set(name)).alias("problems")).withColumn("first", F.element_at("problems", 1))
+
+
+def normalized_growth(small: Column, large: Column, small_size: Column, large_size: Column) -> Column:
+    """How much faster than its input a figure grows: 1 is in proportion; null where nothing was measured."""
+    return F.when((small > 0) & (small_size > 0), (large / small) / (large_size / small_size))

@@ -21,6 +21,18 @@ def coverage(df: DataFrame, keys: list[str], order: list, start: str, end: str)
     return df.withColumn("cursor", cursor).withColumn("verdict", verdict)
 
 
+def coverage_report(slices: DataFrame, extents: DataFrame, keys: list[str], order: list, start: str, end: str, extent: str) -> DataFrame:
+    """keys, losses and duplications of each extent (keys, extent) that slices in order should cover: gaps and ends that are missed or passed, and slices that overlap or are empty. Only faulty ones come out."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = slices.withColumn("__cursor", F.coalesce(F.max(end).over(w), F.lit(0)))
+    gaps, twice = F.col(start) > F.col("__cursor"), (F.col(start) < F.col("__cursor")) | (F.col(end) <= F.col(start))
+    per = rows.groupBy(*keys).agg(F.count_if(gaps).alias("gaps"), F.count_if(twice).alias("duplications"), F.max(end).alias("__end"))
+    out = extents.join(per, keys, "left")
+    short = F.when(F.coalesce("__end", F.lit(0)) != F.col(extent), 1).otherwise(0)
+    out = out.select(*keys, (F.coalesce("gaps", F.lit(0)) + short).alias("losses"), F.coalesce("duplications", F.lit(0)).alias("duplications"))
+    return out.filter("losses > 0 or duplications > 0")
+
+
 def decreasing(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
     """Rows whose value is below the one before."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,11 +147,27 @@ def slide_copies(spark: SparkSession, d: str) -> DataFrame:
     return copies.withColumn("inside", inside).join(bases, "block").select("o_orderkey", "copy", (F.lit(100_000_000) + F.col("base") + F.col("inside")).cast("long").alias("new_id"))
 
 
-@query("SELECT o_orderkey, 'MISSING_CUSTOMER' AS code, 'error' AS severity FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT o_orderkey, 'EMPTY_ORDER', 'warning' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT o_orderkey, 'NEGATIVE_TOTAL', 'error' FROM orders WHERE o_totalprice < 1000")
+@query(
+    """SELECT o_orderkey, 'MISSING_CUSTOMER' AS code, 'error' AS severity FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT o_orderkey, 'EMPTY_ORDER', 'warning' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+    UNION ALL SELECT o_orderkey, 'NEGATIVE_TOTAL', 'error' FROM orders WHERE o_totalprice < 1000 UNION ALL SELECT l_orderkey, 'DUPLICATE_ID', 'error' FROM (SELECT DISTINCT l_orderkey FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1))
+    UNION ALL SELECT DISTINCT l_orderkey, 'MISSING_PART', 'error' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 2) UNION ALL SELECT l_orderkey, 'TOO_MANY_ROWS', 'warning' FROM lineitem GROUP BY 1 HAVING count(*) > 6"""
+)
 def plan_validation(spark: SparkSession, d: str) -> DataFrame:
     """One query for each rule, and their diagnostics together."""
-    orders = table(spark, d, "orders")
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     say = lambda df, code, severity: df.select("o_orderkey", F.lit(code).alias("code"), F.lit(severity).alias("severity"))
     lost = orders.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
-    empty = orders.join(table(spark, d, "lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
-    return say(lost, "MISSING_CUSTOMER", "error").unionByName(say(empty, "EMPTY_ORDER", "warning")).unionByName(say(orders.filter("o_totalprice < 1000"), "NEGATIVE_TOTAL", "error"))
+    empty = orders.join(lines.select("o_orderkey"), "o_orderkey", "left_anti")
+    twice = lines.groupBy("o_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("o_orderkey").distinct()
+    parts = table(spark, d, "part").filter("p_size > 2").select(F.col("p_partkey").alias("l_partkey"))
+    partless = lines.select("o_orderkey", "l_partkey").join(parts, "l_partkey", "left_anti").select("o_orderkey").distinct()
+    many = lines.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 6")
+    rules = (
+        (lost, "MISSING_CUSTOMER", "error"),
+        (empty, "EMPTY_ORDER", "warning"),
+        (orders.filter("o_totalprice < 1000"), "NEGATIVE_TOTAL", "error"),
+        (twice, "DUPLICATE_ID", "error"),
+        (partless, "MISSING_PART", "error"),
+        (many, "TOO_MANY_ROWS", "warning"),
+    )
+    return reduce(DataFrame.unionByName, (say(*rule) for rule in rules))

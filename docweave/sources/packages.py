@@ -67,7 +67,7 @@ def verified(entries: DataFrame) -> DataFrame:
 
 def overlapping_entries(entries: DataFrame) -> DataFrame:
     """Entries that begin before the one before them ends (headers not counted)."""
-    w = Window.partitionBy("package_id").orderBy("offset")
+    w = Window.partitionBy("package_id").orderBy("offset", "seq")
     return entries.withColumn("before", F.lag(F.col("offset") + F.col("csize")).over(w)).filter(F.col("before") > F.col("offset")).drop("before")
 
 

@@ -312,3 +312,11 @@ def test_order_statistics(spark):
         own = sorted(v for v in vs if v is not None)
         want[g] = (len(own), *(own[max(1, math.ceil(len(own) * p)) - 1] for p in shares.values()))
     assert got == want
+
+
+def test_walk_stops_at_its_limit(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "source int, target int")
+    root = spark.createDataFrame([(0,)], "node int")
+    assert graph.reachable(edges, root, most_nodes=10).count() == 10
+    with pytest.raises(RuntimeError):
+        graph.reachable(edges, root, most_nodes=9)
