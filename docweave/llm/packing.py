@@ -34,8 +34,8 @@ from .words import text_slices
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces that one rank bucket holds, about.
-BUCKET_ROWS = 100_000
+#: Pieces of all lengths that one rank bucket holds, about; a length's share of a bucket meets in one task.
+BUCKET_ROWS = 5_000
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
