@@ -19,7 +19,7 @@ suffixes that begin with whole windows.
 Hashes only deal and nominate; words decide. (Words of 16 bytes or more are known by
 120 bits of a cryptographic digest.) A task first settles equal records of its own and
 sends one of them, so a passage in a third of all documents reaches its group as one
-record per sender; each task works on one bucket of its share at a time.
+record per sender; each task builds the trees of its share part by part.
 
 Defined results: null, empty and blank texts have no words and keep the digest of
 the empty string; order is by doc_id, then by a hash of the text, then by
@@ -48,14 +48,14 @@ GROUP_SUFFIXES = 50_000
 MOST_CROWDED = 2_000_000
 #: Suffixes, and bytes of records, that a task gathers before it sends them on.
 FLUSH, FLUSH_BYTES = 500_000, 24 << 20
-#: Buckets in a task's share, worked on one after the other.
-BUCKETS = 8
+#: Parts of a bucket whose trees are built one after the other.
+PARTS = 8
 #: doc_id that stands for null, below all others.
 NO_ID = -(1 << 63)
 
 _PACKED = "bucket int, flag boolean, n int, raw long, payload binary"
 _LEAF = [("path", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("many", "<i4")]
-_RECORD = [("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4"), ("size", "<i4")]
+_RECORD = [("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4"), ("size", "<i4"), ("part", "u1")]
 _MARK = [("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4")]
 _CROWD = [("path", "<u8"), ("many", "<i8")]
 
@@ -285,23 +285,32 @@ def _repeats(batches: Iterator, window: int, buckets: int) -> Iterator:
             ends = np.cumsum(own["size"].astype(np.int64)).tolist()
             texts += [blob[a:b] for a, b in zip([0, *ends], ends)]
         parts.clear()
-        words = words_of(texts)
-        texts.clear()
-        _, where, which = distinct(*keys(words))
-        # a terminator behind each record: numbers that no word and no other record has
-        count = np.diff(words.first)
-        begin = words.first[:-1] + np.arange(len(records))
-        numbers = np.empty(len(which) + len(records), dtype=np.int64)
-        numbers[np.arange(len(which)) + np.repeat(np.arange(len(records)), count)] = which
-        numbers[begin + count] = len(where) + np.arange(len(records))
-        row = np.repeat(np.arange(len(records)), records["n"])
-        within = np.arange(len(row)) - np.repeat(np.cumsum(records["n"]) - records["n"], records["n"])
-        tree = SuffixTree(numbers, begin[row] + within, window)
-        leaves = np.empty(len(row), dtype=_MARK)
-        leaves["doc"], leaves["tag"], leaves["at"] = records["doc"][row], records["tag"][row], records["at"][row] + within
-        order, _, other = _in_order(leaves, tree.path)
-        deep = tree.depths(order) >= window
-        yield from _runs(leaves[order][deep & other], buckets)
+        for part in range(PARTS):
+            own = np.flatnonzero(records["part"] == part)
+            if len(own):
+                yield from _repeats_of(records[own], [texts[i] for i in own.tolist()], window, buckets)
+
+
+def _repeats_of(records, texts: list, window: int, buckets: int) -> Iterator:
+    """Marks for some records and the texts of their words."""
+    import numpy as np
+
+    words = words_of(texts)
+    _, where, which = distinct(*keys(words))
+    # a terminator behind each record: numbers that no word and no other record has
+    count = np.diff(words.first)
+    begin = words.first[:-1] + np.arange(len(records))
+    numbers = np.empty(len(which) + len(records), dtype=np.int64)
+    numbers[np.arange(len(which)) + np.repeat(np.arange(len(records)), count)] = which
+    numbers[begin + count] = len(where) + np.arange(len(records))
+    row = np.repeat(np.arange(len(records)), records["n"])
+    within = np.arange(len(row)) - np.repeat(np.cumsum(records["n"]) - records["n"], records["n"])
+    tree = SuffixTree(numbers, begin[row] + within, window)
+    leaves = np.empty(len(row), dtype=_MARK)
+    leaves["doc"], leaves["tag"], leaves["at"] = records["doc"][row], records["tag"][row], records["at"][row] + within
+    order, _, other = _in_order(leaves, tree.path)
+    deep = tree.depths(order) >= window
+    yield from _runs(leaves[order][deep & other], buckets)
 
 
 def _runs(marks, buckets: int) -> Iterator:
@@ -350,7 +359,7 @@ def repeated_starts(keyed: DataFrame, window: int = WINDOW, group_suffixes: int
     """doc, tag and ``starts`` (packed places and lengths) of runs of windows that also start earlier."""
     import numpy as np
 
-    buckets = BUCKETS * shuffle_width(keyed.sparkSession)
+    buckets = shuffle_width(keyed.sparkSession)
 
     def suffixes(batches: Iterator) -> Iterator:
         import numpy as np
@@ -403,6 +412,7 @@ def repeated_starts(keyed: DataFrame, window: int = WINDOW, group_suffixes: int
             records = _placed(_RECORD, batch, words, start[heads])
             records["n"] = np.diff(np.append(heads, len(start)))
             deal = np.where(full[heads], run_codes(code, window)[start[heads]], prefix[named[heads]])
+            records["part"] = mix(deal) & np.uint64(PARTS - 1)  # other bits than those of the bucket
             begin, end = words.begin[start[heads]], words.end[start[heads] + records["n"] + window - 2]
             records["size"] = end - begin
             held.append((records, deal, [words.data[a:b] for a, b in zip(begin.tolist(), end.tolist())]))
