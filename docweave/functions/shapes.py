@@ -126,26 +126,40 @@ def _channel(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0)), F.lit(255)).cast("int")
 
 
-def _hsl(c: Column) -> tuple[Column, Column, Column]:
+def _bound(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _hsl(c: Column) -> Column:
+    """Hue, saturation and lightness of a colour."""
+
+    def made(v: Column) -> Column:
+        red, green, blue = v["red"], v["green"], v["blue"]
+        delta, light = v["high"] - v["low"], (v["high"] + v["low"]) / 2
+        grey = delta < 2.220446049250313e-16
+        sixth = F.when(v["high"] == red, F.pmod((green - blue) / delta, F.lit(6.0))).when(v["high"] == green, (blue - red) / delta + 2).otherwise((red - green) / delta + 4)
+        return F.struct(F.when(grey, 0.0).otherwise(60 * sixth).alias("hue"), F.when(grey, 0.0).otherwise(delta / (1 - F.abs(2 * light - 1))).alias("saturation"), light.alias("light"))
+
     red, green, blue = (c[k] / F.lit(255.0) for k in ("red", "green", "blue"))
-    high, low = F.greatest(red, green, blue), F.least(red, green, blue)
-    light, delta = (high + low) / 2, high - low
-    grey = delta < 2.220446049250313e-16
-    sixth = F.when(high == red, F.pmod((green - blue) / delta, F.lit(6.0))).when(high == green, (blue - red) / delta + 2).otherwise((red - green) / delta + 4)
-    return F.when(grey, 0.0).otherwise(60 * sixth), F.when(grey, 0.0).otherwise(delta / (1 - F.abs(2 * light - 1))), light
-
-
-def _rgb(hue: Column, saturation: Column, light: Column, alpha: Column) -> Column:
-    chroma = (1 - F.abs(2 * light - 1)) * saturation
-    sector = F.pmod(hue, F.lit(360.0)) / 60
-    second = chroma * (1 - F.abs(F.pmod(sector, F.lit(2.0)) - 1))
-    n, zero, base = F.floor(sector), F.lit(0.0), light - chroma / 2
-    pick = lambda *values: reduce(lambda rest, i: F.when(n == i, values[i]).otherwise(rest), range(4, -1, -1), values[5])
-    red = pick(chroma, second, zero, zero, second, chroma)
-    green = pick(second, chroma, chroma, second, zero, zero)
-    blue = pick(zero, zero, second, chroma, chroma, second)
-    whole = lambda v: _channel(F.floor((v + base) * 255 + 0.5))
-    return F.struct(whole(red).alias("red"), whole(green).alias("green"), whole(blue).alias("blue"), alpha.alias("alpha"))
+    return _bound(F.struct(red.alias("red"), green.alias("green"), blue.alias("blue"), F.greatest(red, green, blue).alias("high"), F.least(red, green, blue).alias("low")), made)
+
+
+def _rgb(hsl: Column, alpha: Column) -> Column:
+    """The colour of a hue, saturation and lightness."""
+
+    def made(v: Column) -> Column:
+        second, zero, n = v["chroma"] * (1 - F.abs(F.pmod(v["sector"], F.lit(2.0)) - 1)), F.lit(0.0), F.floor(v["sector"])
+        pick = lambda *values: reduce(lambda rest, i: F.when(n == i, values[i]).otherwise(rest), range(4, -1, -1), values[5])
+        chroma = v["chroma"]
+        red = pick(chroma, second, zero, zero, second, chroma)
+        green = pick(second, chroma, chroma, second, zero, zero)
+        blue = pick(zero, zero, second, chroma, chroma, second)
+        whole = lambda x: _channel(F.floor((x + v["light"] - chroma / 2) * 255 + 0.5))
+        return F.struct(whole(red).alias("red"), whole(green).alias("green"), whole(blue).alias("blue"), alpha.alias("alpha"))
+
+    chroma = (1 - F.abs(2 * hsl["light"] - 1)) * hsl["saturation"]
+    return _bound(F.struct(chroma.alias("chroma"), (F.pmod(hsl["hue"], F.lit(360.0)) / 60).alias("sector"), hsl["light"].alias("light")), made)
 
 
 def transformed_color(color: Column, transforms: Column) -> Column:
@@ -160,9 +174,14 @@ def transformed_color(color: Column, transforms: Column) -> Column:
         tint = lambda x: _channel(x + _div((255 - x) * share, _FULL))
         moved = lambda x: _channel(x + _div(255 * value, _FULL))
         grey = F.floor((r * 21 + g * 72 + b * 7) / 100)
-        hue, saturation, light = _hsl(c)
         part, clamp = value / F.lit(100_000.0), lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-        hsl = lambda h, s, v: _rgb(h, clamp(s), clamp(v), a)
+
+        def shifted(v: Column) -> Column:
+            own = lambda name, off: F.when(kind == f"{name}Mod", v[field[name]] * part).when(kind == f"{name}Off", v[field[name]] + off).otherwise(v[field[name]])
+            field = {"hue": "hue", "sat": "saturation", "lum": "light"}
+            moved_hsl = F.struct(own("hue", value / F.lit(60_000.0)).alias("hue"), clamp(own("sat", part)).alias("saturation"), clamp(own("lum", part)).alias("light"))
+            return _bound(moved_hsl, lambda m: _rgb(m, a))
+
         return (
             F.when(kind == "alpha", make(r, g, b, _div(255 * share, _FULL)))
             .when(kind == "alphaMod", make(r, g, b, _div(a * share, _FULL)))
@@ -175,12 +194,7 @@ def transformed_color(color: Column, transforms: Column) -> Column:
             .when(kind == "redOff", make(moved(r), g, b, a))
             .when(kind == "greenOff", make(r, moved(g), b, a))
             .when(kind == "blueOff", make(r, g, moved(b), a))
-            .when(kind == "lumMod", hsl(hue, saturation, light * part))
-            .when(kind == "lumOff", hsl(hue, saturation, light + part))
-            .when(kind == "satMod", hsl(hue, saturation * part, light))
-            .when(kind == "satOff", hsl(hue, saturation + part, light))
-            .when(kind == "hueMod", hsl(hue * part, saturation, light))
-            .when(kind == "hueOff", hsl(hue + value / F.lit(60_000.0), saturation, light))
+            .when(kind.isin("lumMod", "lumOff", "satMod", "satOff", "hueMod", "hueOff"), _bound(_hsl(c), shifted))
             .when(kind == "tint", make(tint(r), tint(g), tint(b), a))
             .when(kind == "shade", make(shade(r), shade(g), shade(b), a))
             .otherwise(c)
