@@ -39,7 +39,10 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN 'ppt/media/' || p_partkey || '.png' WHEN p_size % 4 = 2 THEN 'root/' || split_part(p_brand, '#', 1) ELSE 'ppt/slides/sub/' || p_partkey || '.xml' END AS resolved FROM part"""
+    r"""WITH a AS (SELECT p_partkey, regexp_replace(CASE p_size % 4 WHEN 0 THEN '../../../' || p_partkey WHEN 1 THEN '../media/./' || p_partkey || '.png#frag' WHEN 2 THEN '/root//' || p_brand ELSE 'sub/x/../' || p_partkey || '.xml' END, '#.*$', '') AS path FROM part),
+    b AS (SELECT p_partkey, ltrim(regexp_replace(replace('/' || CASE WHEN path LIKE '/%' THEN path ELSE 'ppt/slides/' || path END, '/./', '/'), '/+', '/', 'g'), '/') AS w FROM a),
+    c AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(w, '(^|/)[^/]+/\.\./', '\1'), '(^|/)[^/]+/\.\./', '\1'), '(^|/)[^/]+/\.\./', '\1') AS w FROM b)
+    SELECT p_partkey, CASE WHEN w LIKE '../%' THEN NULL ELSE w END AS resolved FROM c"""
 )
 def path_resolve(spark: SparkSession, d: str) -> DataFrame:
     """Relative targets seen from a slide: up, from the root, down, and out of the package."""
