@@ -5,7 +5,7 @@ texts. They seed the contextual extraction: tokens that look like identifiers
 form *instances*, the words beside them form *patterns*, and both form a graph. In
 each round a pattern's confidence in a kind is the score its instances have for it
 over all its instances (smoothed), and an instance's score is the chance that at
-least one of its confident patterns is right. Instances above ``ACCEPT`` that no
+least one of its confident patterns is right, where at least two of them agree. Instances above ``ACCEPT`` that no
 base span covers are added as spans of that kind.
 
 The patterns are written so that Java's engine neither recurses nor tries a run of
@@ -26,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 #: Confidence from which a pattern counts, seeds it must have, and the score from which an instance is added.
 CONFIDENT, LEAST_SEEDS, ACCEPT = 0.6, 3.0, 0.8
+#: Confident patterns that must agree on an instance, so that one common neighbour does not carry others along.
+LEAST_PATTERNS = 2
 #: Letters or digits of an instance that is no base span, at least; one with some on both sides of an @ needs no more.
 LEAST_DIGITS = 4
 NO_ID = -(1 << 63)
@@ -161,16 +163,17 @@ def discover(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     scores = seeds
     for _ in range(rounds):
-        support = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
+        support = spread_join(edges, scores, "instance", ["pattern"]).groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
         confident = support.join(sizes, "pattern").select("pattern", "kind", "support", (F.col("support") / (F.col("n") + 1)).alias("confidence"))
         confident = confident.filter((F.col("confidence") >= CONFIDENT) & (F.col("support") >= LEAST_SEEDS))
-        reached = edges.join(confident, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
+        reached = spread_join(edges, confident, "pattern", ["instance"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"), F.count(F.lit(1)).alias("agree"))
+        reached = reached.filter(F.col("agree") >= LEAST_PATTERNS).drop("agree")
         scores = materialize(seeds.union(reached).groupBy("instance", "kind").agg(F.max("score").alias("score")), "scores")
     best = scores.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("top"))
     added = best.filter(F.col("top.score") >= ACCEPT).select("instance", (-F.col("top.minus")).alias("kind"))
     loose = seen.filter("kind is null").filter(_identifier(F.col("instance"))).drop("kind")
     lead = F.length(F.regexp_extract("token", r"^[.,;!?()\[\]\"'<>]+", 0))
-    return loose.join(added, "instance").select("doc", "tag", (F.col("start") + lead).alias("start"), "kind", (F.col("start") + lead + F.length("instance")).alias("end"))
+    return spread_join(loose, added, "instance", ["doc", "tag", "start"]).select("doc", "tag", (F.col("start") + lead).alias("start"), "kind", (F.col("start") + lead + F.length("instance")).alias("end"))
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

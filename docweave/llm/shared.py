@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +57,30 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that meet in one place, about, and the finest split of a key.
+SHARE_ROWS, CELLS = 20_000, 4096
+
+
+def spread_join(large: DataFrame, small: DataFrame, key: str, by: list[str], share_rows: int = SHARE_ROWS, hint: str = "merge", many_keys: bool = False) -> DataFrame:
+    """``large`` joined to ``small`` on ``key``, where one key may hold any part of ``large``.
+
+    Keys of more than ``share_rows`` rows are dealt to shares by a hash of ``by``, and
+    their rows of ``small`` go to each share once. Counts go from cells (of that hash)
+    up to the key and back to its cells, so no step meets all rows of a key. ``large``
+    is read twice, so give a stored table; its column names must begin with a letter.
+    ``hint`` keeps the join shuffled, for ``small`` may grow, too; with ``many_keys``
+    to be dealt so are the steps before it.
+    """
+    shuffled = lambda df: df.hint(hint) if many_keys else df
+    celled = large.withColumn("_cell", F.pmod(F.xxhash64(*by), F.lit(CELLS)).cast("int"))
+    counts = celled.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.groupBy(key).agg(F.sum("_n").alias("_n")).filter(F.col("_n") > share_rows)
+    shares = counts.select(key, "_cell").join(shuffled(hot), key).select(key, "_cell", F.pmod("_cell", F.ceil(F.col("_n") / share_rows).cast("int")).alias("_share"))
+    dealt = celled.join(shuffled(shares), [key, "_cell"], "left").withColumn("_share", F.coalesce("_share", F.lit(0))).drop("_cell")
+    copies = small.join(shuffled(shares.select(key, "_share").distinct()), key, "left").withColumn("_share", F.coalesce("_share", F.lit(0)))
+    return dealt.join(copies.hint(hint), [key, "_share"]).drop("_share")
+
+
 def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     """Number of partitions to deal keyed work to."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
