@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import materialize, spread_join
+
 WINDOW = 10
 GRAM = 4
 #: Fingerprints of a benchmark that may be broadcast (about 100 bytes each).
@@ -87,8 +89,9 @@ def _hits_of_windows(docs: DataFrame, items: DataFrame, window: int) -> DataFram
     if few:
         met = ours.join(F.broadcast(theirs), "print")
     else:
-        # documents' words stay behind: meetings go back to them by document
-        met = ours.select("doc", "print", "at").join(theirs, "print").drop("print").join(docs, "doc")
+        # documents' words stay behind: meetings go back to them by document; a passage that many share is dealt to shares
+        places = materialize(ours.filter("print is not null").select("doc", "print", "at"), "prints")
+        met = spread_join(places, theirs, "print", ["doc", "at"]).drop("print").join(docs, "doc")
     left = F.slice("words", F.greatest(F.col("at") - reach + 1, F.lit(1)), F.least(F.col("at"), F.lit(reach)))
     right = F.slice("words", F.col("at") + 1, F.lit(window))
     # in an array of one, so that no part of this moves into the join, which stays with the explode in one piece of code that never copies the words
@@ -120,7 +123,11 @@ def _hits_of_short(docs: DataFrame, items: DataFrame, window: int) -> DataFrame
         runs = F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1))), lambda i: F.slice("words", i, F.lit(n))))
         ours = docs.select("doc", F.posexplode_outer(runs).alias("at", "run"))
         ours = ours.select("doc", "at", "run", F.xxhash64("run").alias("print"))
-        met = ours.join(F.broadcast(theirs) if few else theirs, "print").filter(F.col("run") == F.col("item_words"))
+        if few:
+            met = ours.join(F.broadcast(theirs), "print").filter(F.col("run") == F.col("item_words"))
+        else:
+            places = materialize(ours.filter("run is not null").select("doc", "at", "print"), "runs")
+            met = spread_join(places, theirs, "print", ["doc", "at"]).join(docs, "doc").filter(F.slice("words", F.col("at") + 1, F.lit(n)) == F.col("item_words"))
         met = met.select("doc", "item_id", F.col("at").alias("begin"), (F.col("at") + n).alias("end"))
         out = met if out is None else out.union(met)
     return out
