@@ -9,14 +9,14 @@
   All vectors are then routed to their leaf in every tree.
 * A query walks all trees through one shared priority queue, ordered by the squared
   distances to the hyperplanes crossed so far, until the leaves it has taken hold
-  ``VISITED`` times as many entries as there are vectors (a vector has one entry for
-  each tree).
+  a share of as many entries as there are vectors (a vector has one entry for each
+  tree); the share falls as vectors grow in number, see ``visited_share``.
 * Candidates, the vectors of those leaves, are ranked exactly in double precision.
   Queries meet the index in blocks; each block gives its best of every query, and
   those are ranked once more.
 
-The test vectors are mostly uniform on the sphere, where no index can prune much:
-``VISITED`` is set for a measured recall above 0.9 on such data.
+The test vectors are mostly uniform on the sphere, where no index can prune much: for a
+recall of 0.97 a query scores 77 % of 2 000 vectors, 60 % of 10 000 and 46 % of 51 000.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components
 take no part, nor do those of another length than most have; equal scores go to the
@@ -41,13 +41,18 @@ TREES = 16
 SAMPLE = 20_000
 #: Vectors in a leaf, about, and sample points in it at least.
 LEAF, LEAF_SAMPLE = 64, 12
-#: Index entries a query's leaves hold together, over the number of vectors.
-VISITED = 1.5
+#: Index entries a query's leaves hold together, over the number of vectors, at ``VISITED_ROWS`` vectors; it falls with the fourth root of their number.
+VISITED, VISITED_ROWS = 1.5, 2_000
 #: Vectors and queries that meet in one task, about.
 BLOCK_ROWS = 4096
 SEED = 20_240
 
 
+def visited_share(n: int) -> float:
+    """Entries that a query's leaves hold, over ``n`` vectors: the measured recall stays near 0.97 from 2 000 to 51 000 vectors."""
+    return VISITED * (VISITED_ROWS / n) ** 0.25
+
+
 class Forest(NamedTuple):
     """Nodes of all trees: a hyperplane and two children; children below zero are leaves (-1 - leaf), which are numbered through all trees."""
 
@@ -143,8 +148,8 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.filter(F.size("v") == (length[0].n if length else 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREES, visited: float = VISITED, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score of the ``k`` nearest rows found for each row that ``is_query`` (a Column over vec_id) holds for, and ``query_tag``, a hash of the query's vector."""
+def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREES, visited: float | None = None, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id and score of the ``k`` nearest rows found for each row that ``is_query`` (a Column over vec_id) holds for, and ``query_tag``, a hash of the query's vector. ``visited`` replaces ``visited_share``."""
     import numpy as np
 
     spark = vectors.sparkSession
@@ -181,7 +186,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREE
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                mask = spread.value.search(np.array(part.column("v").to_pylist(), dtype=np.float64), sizes, visited * n)
+                mask = spread.value.search(np.array(part.column("v").to_pylist(), dtype=np.float64), sizes, (visited or visited_share(n)) * n)
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array([np.packbits(m).tobytes() for m in mask], type=pa.binary())], names=["vec_id", "v", "mask"])
 
     # blocks of bounded rows on either side, whatever the number of partitions

@@ -33,15 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, shuffle_width
+from .shared import CELLS, materialize, shuffle_width
 from .superminhash import band_keys, signatures
 from .words import distinct, keys, run_codes, run_ranks, text_slices, words_of
 
 BANDS, BAND_WIDTH = 32, 5
 #: Documents on either side of a block comparison.
 BLOCK = 512
-#: Members that are compared with a leader in one place, about, and the finest split of a leader's members.
-SHARE, CELLS = 256, 4096
+#: Members that are compared with a leader in one place, about.
+SHARE = 256
 
 
 def shingle_sets(texts: list, k: int, with_codes: bool = False) -> list:

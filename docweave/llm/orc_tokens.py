@@ -7,8 +7,8 @@ stride and a Bloom filter on ``doc_id``, so a reader skips files, stripes and
 strides by metadata (``lookup_tokens``) and any number of tasks read stripes of
 one file at a time.
 
-Defined results: a null or empty text is the end token alone; repeated rows are
-written as often as they come; rows with a null ``doc_id`` come first and keep
+Defined results: a null or empty text is the end token alone; repeated rows and rows
+that share an id are written as often as they come, one after the other; rows with a null ``doc_id`` come first and keep
 their place; an empty table gives an empty directory of ORC files. Columns other
 than the id and the text are not read, so clashing names do no harm.
 """
@@ -74,8 +74,9 @@ def token_positions(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read from the files.
 
     Counts and checksums are taken in one pass over the stripes. ``start`` adds
-    the ids of the files before to a running sum inside the file: the files hold
-    ranges of doc_id, so only one row per file meets in one place.
+    the ids of the files before to a running sum inside the file, in the order of its
+    rows: by the part of the file that a task reads, and by place in that part. The
+    files hold ranges of doc_id, so only one row per file meets in one place.
     """
 
     def digest(batches: Iterator) -> Iterator:
@@ -89,16 +90,16 @@ def token_positions(spark: SparkSession, path: str) -> DataFrame:
             view = memoryview(np.ascontiguousarray(ids)).cast("B")
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file"), batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, type=pa.int64())],
-                names=["file", "doc_id", "n_tokens", "ids_crc32"],
+                [*(batch.column(c) for c in ("file", "block", "at", "doc_id")), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, type=pa.int64())],
+                names=["file", "block", "at", "doc_id", "n_tokens", "ids_crc32"],
             )
 
-    rows = read_token_orc(spark, path).select(F.input_file_name().alias("file"), "doc_id", "tokens")
-    digests = materialize(rows.mapInArrow(digest, "file string, doc_id long, n_tokens long, ids_crc32 long"), "token-digests")
+    rows = read_token_orc(spark, path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "doc_id", "tokens")
+    digests = materialize(rows.mapInArrow(digest, "file string, block long, at long, doc_id long, n_tokens long, ids_crc32 long"), "token-digests")
     per_file = digests.groupBy("file").agg(F.min("doc_id").alias("first_id"), F.sum("n_tokens").alias("file_tokens"))
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_file.select("file", F.coalesce(F.sum("file_tokens").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
     return (
         digests.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .join(bases, "file")

@@ -7,8 +7,9 @@ into their prefixes, and the first prefix along a cell's path that fits the byte
 is its shard, so only oversized buckets split. Cells that do not fit even alone are
 summed again with more bits, those rows only, until all do.
 
-Rows meet the directory by their cell; a cell is smaller than a shard, so no key's
-share of the rows lands in one task.
+Rows meet the directory by their cell, in a shuffled join, for the directory grows with
+the rows; a cell is smaller than a shard, so no key's share of the rows lands in one
+task.
 
 Defined results: null and empty texts have no bytes and stay in the shard of their
 hash; a null key or id hashes like an empty string; a shard of one row (or of equal rows) that
@@ -23,11 +24,13 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, spread_join
 
 BITS = 60
 #: Bits by which a directory grows past the estimate, and in each further round.
 SPARE, MORE = 4, 8
+#: Paths through one node that meet in one place, about.
+PATHS = 256
 #: Bytes of text a shard may hold in the query.
 LIMIT = 1 << 20
 
@@ -48,11 +51,14 @@ def directory(rows: DataFrame, limit: int) -> list[DataFrame]:
     while True:
         cells = frontier.groupBy(F.shiftright("h", BITS - bits).alias("cell")).agg(F.sum("n_bytes").alias("bytes"), (F.min("h") == F.max("h")).alias("alone"))
         cells = materialize(cells, "cells")
-        paths = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(bits))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
-        nodes = paths.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes")).filter(F.col("shard_bytes") <= limit)
-        fits = paths.join(nodes, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
+        paths = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(bits))).alias("depth"))
+        paths = paths.select("cell", "bytes", F.struct("depth", F.expr(f"shiftright(cell, {bits} - depth)").alias("prefix")).alias("node"))
+        nodes = paths.groupBy("node").agg(F.sum("bytes").alias("shard_bytes")).filter(F.col("shard_bytes") <= limit)
+        # all paths begin at the same few nodes, so these are dealt to shares
+        met = spread_join(paths.select("cell", "node"), nodes, "node", ["cell"], PATHS, "shuffle_hash", many_keys=True)
+        fits = met.groupBy("cell").agg(F.min(F.struct("node.depth", "node.prefix", "shard_bytes")).alias("leaf"))
         last = F.lit(bits == BITS)
-        found = cells.join(fits, "cell", "left").select(
+        found = cells.join(fits.hint("shuffle_hash"), "cell", "left").select(
             F.lit(bits).alias("cell_bits"),
             "cell",
             F.coalesce("leaf.depth", F.lit(bits)).alias("depth"),
@@ -66,7 +72,7 @@ def directory(rows: DataFrame, limit: int) -> list[DataFrame]:
         open_cells = found.filter("split").select("cell")
         if open_cells.isEmpty():
             return rounds
-        frontier = materialize(frontier.withColumn("cell", F.shiftright("h", BITS - bits)).join(open_cells, "cell", "left_semi").drop("cell"), "frontier")
+        frontier = materialize(frontier.withColumn("cell", F.shiftright("h", BITS - bits)).join(open_cells.hint("shuffle_hash"), "cell", "left_semi").drop("cell"), "frontier")
         low, bits = bits + 1, min(BITS, bits + MORE)
 
 
@@ -77,7 +83,7 @@ def shard(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id") -> DataFrame
     for found in directory(rows, limit):
         bits = found.select("cell_bits").limit(1).collect()
         if bits:
-            part = rows.withColumn("cell", F.shiftright("h", BITS - bits[0].cell_bits)).join(found, "cell")
+            part = rows.withColumn("cell", F.shiftright("h", BITS - bits[0].cell_bits)).join(found.hint("shuffle_hash"), "cell")
             out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.select("*", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(False).alias("oversized")).filter("false")
