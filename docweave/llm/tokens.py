@@ -13,7 +13,7 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 
 #: Bytes of chunks and results that one Python worker keeps, about.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 96 << 20
 #: Bytes that an entry takes besides its chunk and its result.
 _ENTRY = 160
 
@@ -29,14 +29,13 @@ class Cache:
     def results(self, chunks: list, make: Callable[[list], list], size: Callable = len) -> list:
         """One result for each of some distinct chunks; ``make`` gives those that are not kept."""
         young, old = self.young, self.old
-        new = []
-        for c in chunks:
-            if c not in young:
-                if c in old:
-                    young[c] = own = old[c]
-                    self.held += len(c) + size(own) + _ENTRY
-                else:
-                    new.append(c)
+        missing = [c for c in chunks if c not in young]
+        kept = [c for c in missing if c in old]
+        new = [c for c in missing if c not in old] if kept else missing
+        if kept:
+            again = list(map(old.__getitem__, kept))
+            young.update(zip(kept, again))
+            self.held += sum(map(len, kept)) + sum(map(size, again)) + _ENTRY * len(kept)
         if new:
             made = make(new)
             young.update(zip(new, made))

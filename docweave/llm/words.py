@@ -101,7 +101,9 @@ def codes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 def distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all keys, one place for each different key, and which of those each key is. Equal codes of different keys do no harm."""
     code = codes(low, high)
-    _, where, which = np.unique(code, return_index=True, return_inverse=True)
+    found, which = np.unique(code, return_inverse=True)
+    where = np.empty(len(found), dtype=np.int64)
+    where[which] = np.arange(len(code))  # any place will do, which spares a stable sort
     if not (np.array_equal(low[where][which], low) and np.array_equal(high[where][which], high)):
         _, where, which = np.unique(np.rec.fromarrays([low, high]), return_index=True, return_inverse=True)
     return code, where, which
