@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import joins, layouts, revisions, validation, windows
+from ..operators import charts, joins, layouts, revisions, validation, windows
 from ..registry import query, table
 from ..sources import packages
 
@@ -102,3 +102,76 @@ def plan_identity(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("x")))), lambda n: n["x"]), "").alias("nodes"))
     decks = table(spark, d, "customer").join(nodes, F.col("c_custkey") == F.col("o_custkey"), "left")
     return decks.select("c_custkey", revisions.stable_id("plan", F.col("c_name"), F.col("c_mktsegment"), F.col("nodes"), F.lit(7)).alias("plan_id"))
+
+
+def _chart(spark: SparkSession, d: str) -> DataFrame:
+    """Each brand's parts by type and size as a chart."""
+    part = table(spark, d, "part")
+    kinds = part.groupBy("p_brand", "p_size").agg(F.sum("p_retailprice").alias("value"))
+    return kinds.select("p_brand", F.floor((F.col("p_size") - 1) / 10).alias("category_no"), ((F.col("p_size") - 1) % 10).alias("series_no"), F.concat(F.lit("C"), F.floor((F.col("p_size") - 1) / 10).cast("string")).alias("category"), F.concat(F.lit("S"), ((F.col("p_size") - 1) % 10).cast("string")).alias("series"), F.round("value").cast("long").alias("value"))
+
+
+_CHART = "c AS (SELECT p_brand, (p_size - 1) // 10 AS category_no, (p_size - 1) % 10 AS series_no, CAST(round(sum(p_retailprice)) AS BIGINT) AS value FROM part GROUP BY 1, 2, 3)"
+
+
+@query(
+    f"""WITH {_CHART}, x AS (SELECT DISTINCT p_brand, category_no + 2 AS "row", 1 AS col, 'C' || category_no AS value FROM c UNION ALL SELECT DISTINCT p_brand, 1, series_no + 2, 'S' || series_no FROM c UNION ALL SELECT p_brand, category_no + 2, series_no + 2, CAST(value AS VARCHAR) FROM c)
+    SELECT p_brand, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS "column", value, chr(CAST(64 + col AS INTEGER)) || "row" AS cell FROM x"""
+)
+def chart_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The sheet behind each chart."""
+    return charts.workbook_cells(_chart(spark, d), "p_brand")
+
+
+@query(
+    f"""WITH {_CHART}, n AS (SELECT p_brand, max(category_no) + 2 AS last FROM c GROUP BY 1)
+    SELECT p_brand, series_no, 'Sheet1!$' || l || '$1' AS name_ref, 'Sheet1!$A$2:$A$' || last AS category_ref, 'Sheet1!$' || l || '$2:$' || l || '$' || last AS value_ref FROM (SELECT DISTINCT p_brand, series_no, chr(CAST(66 + series_no AS INTEGER)) AS l FROM c) JOIN n USING (p_brand)"""
+)
+def chart_references(spark: SparkSession, d: str) -> DataFrame:
+    """Where each series stands in its sheet."""
+    return charts.series_references(_chart(spark, d), "p_brand")
+
+
+@query(f"WITH {_CHART}, n AS (SELECT p_brand, count(DISTINCT series_no) AS new_series FROM c GROUP BY 1) SELECT p_brand, CAST(8 + length(p_brand) % 2 + hash_no AS BIGINT) AS source_series, new_series, 'INVALID_CHART' AS code FROM (SELECT *, CAST(right(p_brand, 1) AS BIGINT) AS hash_no FROM n) WHERE 8 + length(p_brand) % 2 + hash_no <> new_series")
+def refused_charts(spark: SparkSession, d: str) -> DataFrame:
+    """Charts whose series and replacements differ in number."""
+    brands = table(spark, d, "part").select("p_brand").distinct()
+    sources = brands.select("p_brand", (F.lit(8) + F.char_length("p_brand") % 2 + F.substring("p_brand", -1, 1).cast("long")).alias("source_series"))
+    return charts.refused_charts(sources, _chart(spark, d), "p_brand")
+
+
+@query(
+    """WITH w AS (SELECT c_custkey, unnest(['png', 'jpeg', 'gif']) AS extension FROM customer), p AS (SELECT c_custkey, 'png' AS extension, CASE WHEN c_custkey % 2 = 0 THEN 'image/png' ELSE 'image/x-png' END AS present FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'gif', 'image/gif' FROM customer WHERE c_nationkey > 10)
+    SELECT c_custkey, extension, 'image/' || extension AS content_type, CASE WHEN present IS NULL THEN 'insert' ELSE 'replace' END AS action FROM w LEFT JOIN p USING (c_custkey, extension) WHERE present IS NULL OR present <> 'image/' || extension"""
+)
+def default_types(spark: SparkSession, d: str) -> DataFrame:
+    """Content types that packages with new images need."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    wanted = customers.select("c_custkey", F.explode(F.array(F.lit("png"), F.lit("jpeg"), F.lit("gif"))).alias("extension")).withColumn("content_type", F.concat(F.lit("image/"), "extension"))
+    png = customers.filter("c_custkey % 3 <> 0").select("c_custkey", F.lit("PNG").alias("extension"), F.when(F.col("c_custkey") % 2 == 0, "image/png").otherwise("image/x-png").alias("content_type"))
+    gif = customers.filter("c_nationkey > 10").select("c_custkey", F.lit("gif").alias("extension"), F.lit("image/gif").alias("content_type"))
+    return charts.default_type_patches(png.unionByName(gif), wanted, "c_custkey")
+
+
+@query(
+    """WITH t AS (SELECT user_id, event_id % 4 AS part, CASE event_type WHEN 'click' THEN 'urn:a' WHEN 'view' THEN 'urn:p' END AS element_ns, CASE WHEN event_id % 3 = 0 THEN 'urn:r' END AS attribute_ns FROM events)
+    SELECT DISTINCT user_id, part, ns AS namespace FROM (SELECT user_id, part, element_ns AS ns FROM t UNION ALL SELECT user_id, part, attribute_ns FROM t) WHERE ns IS NOT NULL"""
+)
+def namespace_union(spark: SparkSession, d: str) -> DataFrame:
+    """Namespaces that the elements and attributes of each part use, in one pass over its tokens."""
+    element = F.when(F.col("event_type") == "click", "urn:a").when(F.col("event_type") == "view", "urn:p")
+    attribute = F.when(F.col("event_id") % 3 == 0, "urn:r")
+    tokens = table(spark, d, "events").select("user_id", (F.col("event_id") % 4).alias("part"), F.explode(F.array_compact(F.array(element, attribute))).alias("namespace"))
+    return tokens.distinct()
+
+
+@query(
+    """SELECT user_id, count(*) AS entries, CAST(sum(CASE WHEN held <= 300 THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN held > 300 THEN 1 ELSE 0 END) AS BIGINT) AS evicted
+    FROM (SELECT user_id, sum(w) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS held FROM (SELECT *, 1 + event_id % 100 AS w FROM events)) GROUP BY 1"""
+)
+def cache_evictions(spark: SparkSession, d: str) -> DataFrame:
+    """Entries that a cache of 300 units keeps and those that it has let go, the oldest first."""
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", (1 + F.col("event_id") % 100).alias("w"))
+    kept = windows.within_budget(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], "w", 300).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
+    per = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("entries")).join(kept, "user_id", "left")
+    return per.select("user_id", "entries", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("entries") - F.coalesce("kept", F.lit(0))).alias("evicted"))
