@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import wrapping
 from ..operators import charts, joins, layouts, revisions, validation, windows
 from ..registry import query, table
 from ..sources import packages
@@ -175,3 +176,16 @@ def cache_evictions(spark: SparkSession, d: str) -> DataFrame:
     kept = windows.within_budget(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], "w", 300).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
     per = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("entries")).join(kept, "user_id", "left")
     return per.select("user_id", "entries", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("entries") - F.coalesce("kept", F.lit(0))).alias("evicted"))
+
+
+@query(
+    r"""WITH RECURSIVE w AS (SELECT conv_id, turn, 1 AS i, CAST('' AS VARCHAR) AS line, CAST([] AS VARCHAR[]) AS lines, regexp_extract_all(text, '\n|[ \t\r]+|[^ \t\r\n]+') AS l FROM conversations
+      UNION ALL SELECT conv_id, turn, i + 1,
+        CASE WHEN t = chr(10) THEN '' WHEN blank THEN CASE WHEN line = '' OR length(line || t) > 40 THEN '' ELSE line || t END WHEN length(t) > 40 THEN substr(t, (length(t) - 1) // 40 * 40 + 1) WHEN line <> '' AND length(line || t) > 40 THEN t ELSE line || t END,
+        list_concat(CASE WHEN t = chr(10) OR (line <> '' AND length(line || t) > 40) THEN list_append(lines, regexp_replace(line, '\s+$', '')) ELSE lines END, CASE WHEN length(t) > 40 AND NOT blank THEN list_transform(range(0, (length(t) - 1) // 40), lambda k: substr(t, k * 40 + 1, 40)) ELSE [] END), l
+      FROM (SELECT *, l[i] AS t, regexp_matches(l[i], '^[ \t\r]') AS blank FROM w WHERE i <= len(l)))
+    SELECT conv_id, turn, array_to_string(CASE WHEN line <> '' OR len(lines) = 0 THEN list_append(lines, regexp_replace(line, '\s+$', '')) ELSE lines END, '|') AS lines FROM w WHERE i = len(l) + 1"""
+)
+def wrapped_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Turns in lines of 40 signs."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(wrapping.wrapped(F.col("text"), 40), "|").alias("lines"))

@@ -5,12 +5,13 @@ import io
 import itertools
 import math
 import random
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.functions import geometry, shapes, slices, text
+from docweave.functions import geometry, shapes, slices, text, wrapping
 from docweave.operators import decks, graph, joins, pagination, revisions, tables, windows
 from docweave.sources import packages
 from docweave.streaming import sessions
@@ -320,3 +321,39 @@ def test_walk_stops_at_its_limit(spark):
     assert graph.reachable(edges, root, most_nodes=10).count() == 10
     with pytest.raises(RuntimeError):
         graph.reachable(edges, root, most_nodes=9)
+
+
+def plain_lines(text_, most, measure):
+    lines, line = [], ""
+    for token in re.findall(r"\n|[ \t\r]+|[^ \t\r\n]+", text_):
+        if token == "\n":
+            lines.append(line.rstrip())
+            line = ""
+        elif token.isspace():
+            if line and measure(line + token) > most:
+                lines.append(line.rstrip())
+                line = ""
+            elif line:
+                line += token
+        else:
+            if line and measure(line + token) > most:
+                lines.append(line.rstrip())
+                line = ""
+            if measure(token) <= most:
+                line += token
+                continue
+            for c in token:
+                if line and measure(line + c) > most:
+                    lines.append(line)
+                    line = ""
+                line += c
+    return lines + [line.rstrip()] if line or not lines else lines
+
+
+def test_wrapped_lines(spark):
+    rng = random.Random(2)
+    texts = ["", " ", "\n", "a\n\nb ", "x" * 95, "aa " + "W" * 30 + " b", "é漢🙂 " * 9] + ["".join(rng.choice(["a", "Wi", "m.", " ", "  ", "\n", "\t", "lll"]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    wide = lambda t: sum(250 if c.isspace() else 280 if c in "il." else 850 if c in "mW" else 520 if c.isascii() else 1000 for c in t)
+    for r in df.select("i", wrapping.wrapped(F.col("t"), 10).alias("a"), wrapping.wrapped(F.col("t"), 4000, lambda t: text.class_width(t, 1000)).alias("b")).collect():
+        assert list(r.a) == plain_lines(texts[r.i], 10, len) and list(r.b) == plain_lines(texts[r.i], 4000, wide), (texts[r.i], r)
