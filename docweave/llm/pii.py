@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, spread_join
+from .shared import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -34,6 +34,8 @@ ROUNDS = 3
 CONFIDENT, LEAST_SEEDS, ACCEPT = 0.6, 3.0, 0.8
 #: Confident patterns that must agree on an instance, so that one common neighbour does not carry others along.
 LEAST_PATTERNS = 2
+#: Shares of a pattern's instances, or of an instance's places.
+SALTS = 16
 #: Letters or digits of an instance that is no base span, at least; one with some on both sides of an @ needs no more.
 LEAST_DIGITS = 4
 NO_ID = -(1 << 63)
@@ -151,6 +153,13 @@ def _occurrences(spans: DataFrame) -> DataFrame:
     return seen.select("doc", "tag", "start", "end", "token", "left", "right", kind.alias("kind"))
 
 
+def _salted(large: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """``large`` joined to ``small``, which is what few keys are left of, on ``key``; a key's rows are dealt by a hash of ``by``."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = large.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(small.withColumn("salt", salts), [key, "salt"]).drop("salt")
+
+
 def discover(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc, tag, start, kind and end of spans that confident patterns add."""
     seen = materialize(_occurrences(spans), "occurrences")
@@ -163,17 +172,17 @@ def discover(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     scores = seeds
     for _ in range(rounds):
-        support = spread_join(edges, scores, "instance", ["pattern"]).groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
+        support = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
         confident = support.join(sizes, "pattern").select("pattern", "kind", "support", (F.col("support") / (F.col("n") + 1)).alias("confidence"))
         confident = confident.filter((F.col("confidence") >= CONFIDENT) & (F.col("support") >= LEAST_SEEDS))
-        reached = spread_join(edges, confident, "pattern", ["instance"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"), F.count(F.lit(1)).alias("agree"))
+        reached = _salted(edges, confident, "pattern", "instance").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"), F.count(F.lit(1)).alias("agree"))
         reached = reached.filter(F.col("agree") >= LEAST_PATTERNS).drop("agree")
         scores = materialize(seeds.union(reached).groupBy("instance", "kind").agg(F.max("score").alias("score")), "scores")
     best = scores.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("top"))
     added = best.filter(F.col("top.score") >= ACCEPT).select("instance", (-F.col("top.minus")).alias("kind"))
     loose = seen.filter("kind is null").filter(_identifier(F.col("instance"))).drop("kind")
     lead = F.length(F.regexp_extract("token", r"^[.,;!?()\[\]\"'<>]+", 0))
-    return spread_join(loose, added, "instance", ["doc", "tag", "start"]).select("doc", "tag", (F.col("start") + lead).alias("start"), "kind", (F.col("start") + lead + F.length("instance")).alias("end"))
+    return _salted(loose, added, "instance", "doc").select("doc", "tag", (F.col("start") + lead).alias("start"), "kind", (F.col("start") + lead + F.length("instance")).alias("end"))
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
