@@ -157,7 +157,7 @@ def _salted(large: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
     """``large`` joined to ``small``, which is what few keys are left of, on ``key``; a key's rows are dealt by a hash of ``by``."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     dealt = large.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return dealt.join(small.withColumn("salt", salts), [key, "salt"]).drop("salt")
+    return dealt.join(small.withColumn("salt", salts).hint("merge"), [key, "salt"]).drop("salt")
 
 
 def discover(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -210,7 +210,7 @@ class Scorer:
 
     FEATURES = 5
 
-    def __init__(self, lexicon: Lexicon, cache_bytes: int = CACHE_BYTES):
+    def __init__(self, lexicon: Lexicon, cache_bytes: int = CACHE_BYTES // 2):
         self.lexicon = lexicon
         self.matcher = Matcher(lexicon.words, lexicon.stems)
         self.cache = Cache(cache_bytes)
